@@ -31,36 +31,49 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class CachedTokenizer:
-    """The ids of the tokenizer in `path`, which encodes each pre-token by itself: distinct pre-tokens are
-    encoded once and kept (up to `most`). Texts beyond Latin letters and plain white space, and those with a
+    """The ids of the tokenizer in `path`, which encodes each pre-token by itself: distinct runs between spaces
+    are encoded once and kept (up to `most`). Texts beyond Latin letters and plain white space, and those with a
     special token's string, go to the tokenizer whole."""
 
-    _plain = re.compile("[\t\n\r\x20-\x7e\xa1-İĲ-ɏ–—‘-„…€]*").fullmatch
+    _plain = re.compile("[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f\u2013-\u2026]*").fullmatch
 
-    def __init__(self, path: str, most: int = 300_000):
-        import regex
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tok, self.most, self.cache = Tokenizer.from_file(path), most, {}
-        # the pre-tokens of this vocabulary file: fixed values
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        # the pre-tokens of this vocabulary file, for plain texts: fixed values
+        self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+").findall
 
     def ids(self, text: str) -> np.ndarray:
         if "<|" in text or not self._plain(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
-        parts = self.split((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
+        chunks = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split()
         cache = self.cache
         try:
-            found = [cache[x] for x in parts]
+            found = [cache[x] for x in chunks]
         except KeyError:
             if len(cache) > self.most:
                 cache.clear()
-            new = [x for x in dict.fromkeys(parts) if x not in cache]
-            for x, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False)):
-                cache[x] = np.array(e.ids, "<u4").tobytes()
-            found = [cache[x] for x in parts]
+            for x in chunks:
+                if x not in cache:
+                    cache[x] = self._encode(x)
+            found = [cache[x] for x in chunks]
         return np.frombuffer(b"".join(found), "<u4")
 
+    def _encode(self, chunk: str) -> bytes:
+        tokenize = self.tok.model.tokenize
+        return np.array([t.id for part in self.split(chunk) for t in tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHARS))], "<u4").tobytes()
+
+
+def _byte_chars() -> dict[int, int]:
+    """Byte-level BPE's printable stand-ins: printable Latin-1 stays, other bytes count up from 256."""
+    kept = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = (b for b in range(256) if b not in kept)
+    return {b: 256 + n for n, b in enumerate(rest)}
+
+
+_BYTE_CHARS = _byte_chars()
+
 
 @dataclass
 class Limits:
