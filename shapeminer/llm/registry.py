@@ -23,6 +23,12 @@ def op10_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark, sf_dir):
+    from .secrets import secret_spans
+
+    return secret_spans(table(spark, sf_dir, "documents")).drop("verdicts")
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
