@@ -11,6 +11,12 @@ def op1_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark, sf_dir):
+    from .toxicity import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_quality(spark, sf_dir):
     from .quality import score
 
