@@ -2,7 +2,8 @@
 
 A step is a word; its input is the word's own vector (words of the training sample that occur in some documents)
 beside the mean of its hashed character trigrams' vectors. Every text is covered by overlapping windows of WINDOW
-words; each is pooled by attention into a logit, and a text's logit is its largest, calibrated on the sample.
+words; each is pooled by attention into a logit. A text's score is a logistic model, fitted on the sample, of its largest
+logit and of how many and which share of its windows look toxic.
 Training is multiple-instance: of a document only its strongest window, and some random ones of clean documents,
 are learned from. The fit uses at most PER_CLASS documents of each class.
 
@@ -21,7 +22,7 @@ from .common import ALNUM, LOWER, blocks, sigmoid, span_hashes, text_bytes, word
 from .labelled import held_out, sample
 from .recurrent import F32, Adam, gru, gru_back, gru_params, gru_step, init
 
-PER_CLASS = 900
+PER_CLASS = 1200
 WINDOW, STRIDE = 32, 24
 DIM, HIDDEN, CHAR_BITS = 8, 8, 12
 
@@ -59,7 +60,7 @@ class Net:
         for k in "fb":
             self.p |= gru_params(rng, k, 2 * DIM, HIDDEN)
         self.p |= {"A": init(rng, 2 * HIDDEN, HIDDEN), "a": np.zeros(HIDDEN, F32), "v": init(rng, HIDDEN), "u": init(rng, 2 * HIDDEN), "c": np.zeros(1, F32)}
-        self.line = (1.0, 0.0)
+        self.line = (np.array([1.0, 0.0, 0.0]), 0.0)
 
     def word_rows(self, h):
         if not len(self.vocabulary):
@@ -70,11 +71,15 @@ class Net:
     def inputs(self, h, tri, s, e):
         if not len(h):
             return np.zeros((0, 2 * DIM), F32)
-        chars = self.p["char"][tri]
-        edges = np.empty(2 * len(s), np.int64)
-        edges[0::2], edges[1::2] = s, e
-        edges = edges[:-1] if e[-1] >= len(tri) else edges
-        return np.concatenate([self.p["word"][self.word_rows(h)], np.add.reduceat(chars, edges)[0::2] / (e - s)[:, None].astype(F32)], 1)
+        out = np.empty((len(h), 2 * DIM), F32)
+        for lo in range(0, len(h), 100_000):  # bounds what the characters' vectors take
+            a, z, own = s[lo : lo + 100_000], e[lo : lo + 100_000], slice(lo, lo + 100_000)
+            chars = np.concatenate([self.p["char"][tri[a[0] : z[-1]]], np.zeros((1, DIM), F32)])
+            edges = np.empty(2 * len(a), np.int64)
+            edges[0::2], edges[1::2] = a - a[0], z - a[0]
+            out[own, :DIM] = self.p["word"][self.word_rows(h[own])]
+            out[own, DIM:] = np.add.reduceat(chars, edges)[0::2] / (z - a)[:, None].astype(F32)
+        return out
 
     def logits(self, X, first, count):
         """Of windows, with the input projections shared by all that hold a word."""
@@ -135,21 +140,30 @@ class Net:
         np.add.at(g["word"], rows, dXw[:, :DIM])
         np.add.at(g["char"], tri, np.repeat(dXw[:, DIM:] / per[:, None].astype(F32), per, 0))
         opt.step(g)
+        for k, v in p.items():
+            if v.ndim == 2:
+                v[:, k == "word" :] *= F32(1 - 2e-3)  # the words' prior is no weight
 
-    def document_logits(self, texts):
+    def evidence(self, texts):
+        """Per text: the largest window logit, the expected number of toxic windows (log) and their share."""
         h, tri, s, e, doc = _words(texts)
         first, count, d = _windows(doc, len(texts))
-        out = np.full(len(texts), -np.inf, np.float64)
         X = self.inputs(h, tri, s, e)
-        for lo in range(0, len(first), 8192):
-            np.maximum.at(out, d[lo : lo + 8192], self.logits(X, first[lo : lo + 8192], count[lo : lo + 8192]))
-        return out
+        logit = np.concatenate([self.logits(X, first[lo : lo + 8192], count[lo : lo + 8192]) for lo in range(0, len(first), 8192)] or [np.zeros(0)])
+        return _evidence(logit, d, len(texts))
 
     def score(self, texts):
-        return sigmoid(self.line[0] * self.document_logits(texts) + self.line[1])
+        return sigmoid(self.evidence(texts) @ self.line[0] + self.line[1])
+
+
+def _evidence(logit, d, n):
+    top = np.full(n, -np.inf)
+    np.maximum.at(top, d, logit)
+    toxic = np.bincount(d, sigmoid(logit), minlength=n)
+    return np.stack([np.clip(top, -12, 12), np.log1p(toxic), toxic / np.bincount(d, minlength=n)], 1)
 
 
-def fit(examples: list[tuple[str, int]], *, rounds: int = 8, seed: int = 7) -> Net | None:
+def fit(examples: list[tuple[str, int]], *, rounds: int = 7, seed: int = 7) -> Net | None:
     """None without examples of both classes."""
     y = np.array([q for _, q in examples])
     if not len(y) or y.min() == y.max():
@@ -160,7 +174,8 @@ def fit(examples: list[tuple[str, int]], *, rounds: int = 8, seed: int = 7) -> N
     kinds, inverse = np.unique(pairs[0], return_inverse=True)
     pos, neg = (np.bincount(inverse, weights=y[pairs[1].astype(np.int64)] == k, minlength=len(kinds)) for k in (1, 0))
     prior = np.log((pos + 0.5) / (y == 1).sum()) - np.log((neg + 0.5) / (y == 0).sum())
-    seen = pos + neg >= 3
+    prior *= (pos + neg) / (pos + neg + 10)  # few documents, perhaps copies of one, are weak evidence
+    seen = pos + neg >= 5
     net = Net(kinds[seen], np.clip(prior[seen], -2, 4).astype(F32) / 2, seed)
     opt, rng = Adam(net.p, 1e-2), np.random.default_rng(seed)
     first, count, d = _windows(doc, len(y))
@@ -172,19 +187,20 @@ def fit(examples: list[tuple[str, int]], *, rounds: int = 8, seed: int = 7) -> N
     for r in range(rounds):
         best = np.array([lo + int(np.argmax(logit[lo:hi])) for lo, hi in zip(bounds[:-1], bounds[1:])])
         clean = np.flatnonzero(y[d] == 0)
+        if r >= 2:  # a positive in which nothing stands out by now is taken for a labelling error
+            best = best[(y == 0) | (logit[best] > 0)]
         some = np.r_[best, rng.choice(clean, min(len(clean), len(y)), replace=False)]
         for _ in range(3):
             order = rng.permutation(some)
             for lo in range(0, len(order), 256):
-                net.learn(_batch_of(order[lo : lo + 256], rows, tri, s, e, first, count, y[d]), opt)
+                net.learn(_batch_of(order[lo : lo + 256], rows, tri, s, e, first, count, y[d], rng, len(net.vocabulary)), opt)
         X = net.inputs(h, tri, s, e)
         logit = np.concatenate([net.logits(X, first[lo : lo + 8192], count[lo : lo + 8192]) for lo in range(0, len(first), 8192)])
-    top = np.maximum.reduceat(logit, bounds[:-1])
-    net.line = _platt(top, y)
+    net.line = _calibrated(_evidence(logit, d, len(y)), y)
     return net
 
 
-def _batch_of(picked, rows, tri, s, e, first, count, y):
+def _batch_of(picked, rows, tri, s, e, first, count, y, rng, other):
     at = np.concatenate([np.arange(first[k], first[k] + count[k]) for k in picked]) if len(picked) else np.zeros(0, np.int64)
     if not len(at):  # texts without words only
         at = np.zeros(1, np.int64)
@@ -195,25 +211,26 @@ def _batch_of(picked, rows, tri, s, e, first, count, y):
     n = count[picked]
     own = y[picked]
     weight = np.where(own == 1, 0.5 * len(own) / max(1, (own == 1).sum()), 0.5 * len(own) / max(1, (own == 0).sum()))
-    return rows[at], tri[chars], start, per, np.cumsum(n) - n, n, own, weight
+    held = rows[at].copy()
+    held[rng.random(len(held)) < 0.2] = other  # so that the characters must carry words by themselves, too
+    return held, tri[chars], start, per, np.cumsum(n) - n, n, own, weight
 
 
-def _platt(x, y, steps: int = 50):
-    """Slope and shift of a logistic curve through the (scaled) logits, by Newton steps."""
-    mean, sd = x.mean(), x.std() + 1e-9
-    z, ab = (x - mean) / sd, np.array([2.0, 0.0])
-    target = np.where(y == 1, ((y == 1).sum() + 1) / ((y == 1).sum() + 2), 1 / ((y == 0).sum() + 2))
+def _calibrated(x, y, steps: int = 60, ridge: float = 1.0):
+    """Weights and shift of a logistic model over the columns of x, by Newton steps."""
+    mean, sd = x.mean(0), x.std(0) + 1e-9
+    z = np.c_[(x - mean) / sd, np.ones(len(x))]
+    w, keep = np.zeros(z.shape[1]), np.diag([ridge] * x.shape[1] + [1e-6])
     for _ in range(steps):
-        q = sigmoid(ab[0] * z + ab[1])
-        grad = np.array([((q - target) * z).sum() + 1e-2 * ab[0], (q - target).sum()])
+        q = sigmoid(z @ w)
         v = q * (1 - q) + 1e-6
-        ab = ab - np.linalg.solve(np.array([[(v * z * z).sum() + 1e-2, (v * z).sum()], [(v * z).sum(), v.sum()]]), grad).clip(-2, 2)
-    return float(ab[0] / sd), float(ab[1] - ab[0] * mean / sd)
+        w = w - np.linalg.solve((z * v[:, None]).T @ z + keep, z.T @ (q - y) + keep @ w).clip(-2, 2)
+    return w[:-1] / sd, float(w[-1] - (w[:-1] * mean / sd).sum())
 
 
 def score(docs: DataFrame, labels: DataFrame, *, label="toxic", id_col="doc_id", text_col="text", threshold: float = 0.7, per_class: int = PER_CLASS) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs; predicted is 1 from `threshold` on."""
-    model = fit(sample(docs, labels, label, per_class, id_col=id_col, text_col=text_col))
+    model = fit(sample(docs, labels, label, per_class, id_col=id_col, text_col=text_col, most_chars=30_000))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # grows with the sample's bound only
 
     def run(batches):
