@@ -35,6 +35,12 @@ def op10_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark, sf_dir):
+    from .pii import detect
+
+    return detect(table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark, sf_dir):
     from .secrets import secret_spans
 
