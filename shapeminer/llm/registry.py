@@ -41,6 +41,12 @@ def op6_pii(spark, sf_dir):
     return detect(table(spark, sf_dir, "documents"))
 
 
+def op8_html(spark, sf_dir):
+    from .html_blocks import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_secrets(spark, sf_dir):
     from .secrets import secret_spans
 
