@@ -8,7 +8,8 @@ share a key. A Jaccard similarity of 0.8 exceeds distance 19 with a chance of ab
 threshold are confirmed on the full shingle sets.
 
 A bucket is never expanded into all its pairs: its members are compared with a few pivots, confirmed links are
-merged into components, and only members that are then still in different components of a bucket are paired.
+merged into components, and only members that are then still in different components of a bucket are compared
+further, in blocks that return links alone.
 
 Null text, and text without words, has an empty set: linked with nothing, a component of its own. Repeated rows
 and ties are fine; component ids are smallest doc_ids. A null doc_id takes part under no id and gets none.
@@ -29,6 +30,8 @@ from .components import components
 SYMBOLS, CHUNK = 40, 4
 #: Largest signature distance that the index is sure to find: one error a chunk at most in some chunk.
 MOST_ERRORS = 2 * (SYMBOLS // CHUNK) - 1
+#: Shingles of one side of a block pair, about; columns of one matrix product; bits of the id filter (log 2).
+BLOCK_SHINGLES, COLUMNS, BLOOM_BITS = 400_000, 8192, 25
 _MULT = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _SIGS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])
 
@@ -97,7 +100,7 @@ def _keys(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "sig").mapInArrow(run, "key long, part int, rep long")
 
 
-def _near(pairs: DataFrame, classes: DataFrame, least: int, first_key: bool = False) -> DataFrame:
+def _near(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     """The pairs (x, y) whose signatures differ in MOST_ERRORS symbols at most and whose sizes allow the similarity."""
     side = lambda k: classes.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}"))
     joined = pairs.join(side("x"), "x").join(side("y"), "y").where(F.expr(f"100 * least(nx, ny) >= {least} * greatest(nx, ny)"))
@@ -111,9 +114,20 @@ def _near(pairs: DataFrame, classes: DataFrame, least: int, first_key: bool = Fa
     return joined.select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, least: int) -> DataFrame:
-    """The pairs whose full shingle sets have the similarity: 100 * intersection >= least * union."""
-    ids = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
+def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id may be among ids: a Bloom filter of 2^BLOOM_BITS bits, broadcast as bitmaps of 4 KB
+    (4 MB at most, whatever the input), saves shuffling the other texts. A superset; later joins are exact."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BLOOM_BITS))
+    maps = ids.select(place.alias("p")).select(F.bitmap_bucket_number("p").alias("bucket"), F.bitmap_bit_position("p").alias("at"))
+    maps = F.broadcast(maps.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(_at div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    hit = docs.withColumns({"bucket": F.bitmap_bucket_number(place), "_at": at}).join(maps, "bucket")
+    return hit.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0).select("doc_id", "text")
+
+
+def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(id, set) of the documents with these ids, and of a few others."""
 
     def run(batches):
         for batch in batches:
@@ -122,8 +136,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, least: int) -> DataFra
                 at = pa.array(np.searchsorted(d, np.arange(b.num_rows + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(at, pa.array(g.view(np.int64)))], names=["id", "set"])
 
-    sets = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "id long, set array<long>")
-    sets = written(sets.dropDuplicates(["id"]), "sets")
+    return _among(docs, ids).mapInArrow(run, "id long, set array<long>")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """The pairs whose full shingle sets have the similarity: 100 * intersection >= least * union."""
     one, two = sets.toDF("x", "sx"), sets.toDF("y", "sy")
     return (
         pairs.join(one, "x").join(two, "y")
@@ -132,6 +149,69 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, least: int) -> DataFra
     )
 
 
+def _links_between(table: pa.Table, least: int) -> pa.Table:
+    """Of one block pair: a link from each row of side 0 to each other component of side 1, if there is one.
+
+    Sizes of intersections come from products of incidence matrices, COLUMNS shingles at a time.
+    """
+    side = np.asarray(table["side"])
+    rows = [np.flatnonzero(side == k) for k in (0, 1)]
+    out_x, out_y = [], []
+    if len(rows[0]) and len(rows[1]):
+        rep, comp = np.asarray(table["rep"]), np.asarray(table["c"])
+        flat = table["set"].combine_chunks()
+        at, values = np.asarray(flat.offsets), np.asarray(flat.values)
+        size = np.diff(at)
+        owner = np.repeat(np.arange(len(size)), size)
+        kinds, column = np.unique(values[at[0] : at[-1]], return_inverse=True)
+        both = np.zeros((len(rows[0]), len(rows[1])), np.float32)
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        place = np.empty(len(side), np.int64)
+        for r in rows:
+            place[r] = np.arange(len(r))
+        for lo in range(0, len(kinds), COLUMNS):
+            part = slice(*np.searchsorted(column, [lo, lo + COLUMNS]))
+            m = [np.zeros((len(r), COLUMNS), np.float32) for r in rows]
+            for k in (0, 1):
+                own = side[owner[part]] == k
+                m[k][place[owner[part][own]], column[part][own] - lo] = 1
+            both += m[0] @ m[1].T
+        union = size[rows[0]][:, None] + size[rows[1]][None, :] - both
+        linked = (100.0 * both >= least * union) & (comp[rows[0]][:, None] != comp[rows[1]][None, :])
+        for k, j in enumerate(rows[0]):
+            hits = rows[1][linked[k]]
+            _, first = np.unique(comp[hits], return_index=True)
+            out_x += [rep[j]] * len(first)
+            out_y += rep[hits[first]].tolist()
+    return pa.table({"a": pa.array(out_x, pa.int64()), "b": pa.array(out_y, pa.int64())})
+
+
+def _rest(members: DataFrame, found: DataFrame, docs: DataFrame, classes: DataFrame, n: int, least: int) -> DataFrame:
+    """Links between members of one bucket that are still in different components.
+
+    In each such bucket one component has the most members; the others' members are compared, in blocks, with all
+    members of the buckets that this component leads. So the work is the product of the stragglers and the rest,
+    not of all with all, and blocks of bounded size share it out.
+    """
+    own = members.where("size > 2").join(found, members.rep == found.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    split = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
+    open_ = written(own.join(split, "key"), "open")
+    top = open_.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", (-F.col("c")).alias("c"))).alias("t")).select("key", (-F.col("t.c")).alias("top"))
+    led = written(open_.join(top, "key").groupBy("top", "rep", "c").agg(F.lit(1).alias("one")).drop("one"), "led")
+    led = led.join(classes.select("rep", "n"), "rep")
+    stray = F.when(F.col("c") != F.col("top"), F.col("n")).otherwise(0)
+    blocks_of = led.groupBy("top").agg(*(F.ceil(F.sum(v) / BLOCK_SHINGLES).cast("int").alias(k) for k, v in (("sb", stray), ("mb", F.col("n")))))
+    led = led.join(blocks_of, "top")
+    block = lambda k: F.pmod(F.xxhash64("rep"), F.col(k)).cast("int")
+    spread = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    one = led.where("c != top").select("top", "rep", "c", F.lit(0).alias("side"), block("sb").alias("s"), "mb").select("top", "rep", "c", "side", "s", spread("mb").alias("m"))
+    two = led.where("sb > 0").select("top", "rep", "c", F.lit(1).alias("side"), block("mb").alias("m"), "sb").select("top", "rep", "c", "side", spread("sb").alias("s"), "m")
+    sets = written(_sets(docs, led.select(F.col("rep").alias("doc_id")).distinct(), n), "sets")
+    rows = one.unionByName(two).join(sets, F.col("rep") == sets["id"]).select("top", "s", "m", "side", "rep", "c", "set")
+    return rows.groupBy("top", "s", "m").applyInArrow(lambda t: _links_between(t, least), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 4, least: int = 80, id_col="doc_id", text_col="text", pivots: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs.
 
@@ -149,20 +229,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, least: int = 80, id_co
     members = written(keys.join(shared.select("key", "p.pivot", "size"), "key").select("key", "rep", "pivot", "size"), "members")
     pairs = members.where("rep != pivot").select(F.greatest("rep", "pivot").alias("x"), F.least("rep", "pivot").alias("y")).distinct()
     pairs = written(_near(pairs, classes, least), "pairs")
-    links = written(_confirmed(pairs, docs, shingle, least), "links")
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+    links = written(_confirmed(pairs, written(_sets(docs, ids, shingle), "sets"), least), "links")
     found = written(components(links), "found")
-    # what is left: members of one bucket in different components that are not both compared with each other
-    own = members.where("size > 2").join(found, members.rep == found.node, "left").select("key", "rep", "pivot", F.coalesce("component", "rep").alias("c"))
-    split = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("key")
-    open_ = written(own.join(split, "key"), "open")
-    top = open_.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", "n").alias("top"))
-    minor = open_.join(top, "key").where("c != top").select("key", F.col("rep").alias("x"), F.col("c").alias("cx"), "pivot", "top")
-    all_ = open_.select("key", F.col("rep").alias("y"), F.col("c").alias("cy"))
-    more = minor.join(all_, "key").where("cx != cy and x != pivot and y != pivot and (cy = top or x < y)")
-    more = written(_near(more.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), classes, least), "more")
-    if not more.isEmpty():
-        links = links.unionByName(_confirmed(more, docs, shingle, least))
-        found = written(components(links), "found")
+    rest = written(_rest(members, found, docs, classes, shingle, least), "rest")
+    if not rest.isEmpty():
+        found = written(components(links.unionByName(rest)), "found")
     of = written(classes.join(found, classes.rep == found.node, "left").select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("c")), "classes")
     out = sigs.join(of, sigs.digest == of.d, "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -41,6 +41,12 @@ def op6_pii(spark, sf_dir):
     return detect(table(spark, sf_dir, "documents"))
 
 
+def op7_media(spark, sf_dir):
+    from .media import describe, store
+
+    return describe(store(table(spark, sf_dir, "documents"))).drop("codec", "duration", "keyframe_ranges")
+
+
 def op8_html(spark, sf_dir):
     from .html_blocks import main_text
 
