@@ -20,7 +20,7 @@ from .common import NOT_SPACE, blocks, gram_hashes, mix, sigmoid, span_hashes, t
 from .labelled import held_out, sample
 
 #: Labelled documents of each class that are fitted at most.
-PER_CLASS = 1500
+PER_CLASS = 1200
 BITS = 18
 #: Byte classes of a word's shape: lower, upper, digit, non-ASCII; other bytes stand for themselves.
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -90,7 +90,8 @@ def fit(examples: list[tuple[str, int]], *, beta: float = 0.9) -> tuple[np.ndarr
     y = np.array([1.0 if q else -1.0 for _, q in examples])
     if not len(y) or abs(y.sum()) == len(y):
         return None
-    doc, feat = features(pa.array([t for t, _ in examples], pa.string()))
+    parts = [features(pa.array([t for t, _ in examples[lo : lo + 200]], pa.string())) for lo in range(0, len(examples), 200)]
+    doc, feat = (np.concatenate(x) for x in zip(*((d + 200 * k, f) for k, (d, f) in enumerate(parts))))
     ratio = log_count_ratios(doc, feat, y)
     bounds = np.searchsorted(doc, np.arange(len(y) + 1))
     rows = []
@@ -106,7 +107,7 @@ def fit(examples: list[tuple[str, int]], *, beta: float = 0.9) -> tuple[np.ndarr
 
 def score(docs: DataFrame, labels: DataFrame, *, label="quality", id_col="doc_id", text_col="text", threshold: float = 0.5, per_class: int = PER_CLASS) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs; predicted is 1 from `threshold` on."""
-    model = fit(sample(docs, labels, label, per_class, id_col=id_col, text_col=text_col))
+    model = fit(sample(docs, labels, label, per_class, id_col=id_col, text_col=text_col, most_chars=30_000))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS floats at most
 
     def run(batches):

@@ -35,6 +35,12 @@ def op10_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scores(spark, sf_dir):
+    from .ngram_lm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark, sf_dir):
     from .pii import detect
 

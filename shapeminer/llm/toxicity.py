@@ -39,6 +39,16 @@ def _words(texts):
     return span_hashes(data, s, e), tri, s, e, doc
 
 
+def _words_in_parts(texts, size: int = 200):
+    """_words of many texts, a part at a time."""
+    out, chars = [], 0
+    for lo in range(0, len(texts), size):
+        h, tri, s, e, doc = _words(texts.slice(lo, size))
+        out.append((h, tri, s + chars, e + chars, doc + lo))
+        chars += len(tri)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def _windows(doc: np.ndarray, n: int):
     """(first word, words, document) of all windows; the last of a long document is moved back to end with it."""
     count = np.bincount(doc, minlength=n)
@@ -168,8 +178,7 @@ def fit(examples: list[tuple[str, int]], *, rounds: int = 7, seed: int = 7) -> N
     y = np.array([q for _, q in examples])
     if not len(y) or y.min() == y.max():
         return None
-    texts = pa.array([t for t, _ in examples], pa.string())
-    h, tri, s, e, doc = _words(texts)
+    h, tri, s, e, doc = _words_in_parts(pa.array([t for t, _ in examples], pa.string()))
     pairs = np.unique(np.stack([h, doc.astype(np.uint64)]), axis=1)
     kinds, inverse = np.unique(pairs[0], return_inverse=True)
     pos, neg = (np.bincount(inverse, weights=y[pairs[1].astype(np.int64)] == k, minlength=len(kinds)) for k in (1, 0))
