@@ -39,14 +39,60 @@ def _drop(spark: SparkSession, path: str) -> None:
         return
 
 
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: the lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    out = df.write.option("compression", "zstd")
-    (out.partitionBy(partition_by) if partition_by else out).parquet(path)
+    # the exchanges behind it are of no further use
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of `written` that nothing reads any more."""
+    for df in tables:
+        _drop(df.sparkSession, df._written_path)
+
+
+#: Bits (log 2) of the id filter.
+BLOOM_BITS = 25
+
+
+def maybe_among(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """df with a boolean column _maybe: false where the row's id is surely not among `ids` (one column).
+
+    The filter is a hashed bitmap of 2^BLOOM_BITS bits, broadcast as bitmaps of 4 KB, 4 MB at most whatever the
+    input; it saves shuffling the other rows' texts. Larger sets of ids make it less selective, never wrong.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BLOOM_BITS))
+    maps = ids.select(place(ids.columns[0]).alias("p")).select(F.bitmap_bucket_number("p").alias("_bucket"), F.bitmap_bit_position("p").alias("at"))
+    maps = F.broadcast(maps.groupBy("_bucket").agg(F.bitmap_construct_agg("at").alias("_bits")))
+    p = place(F.col(id_col).cast("long"))
+    at = F.bitmap_bit_position(p)
+    out = df.withColumns({"_bucket": F.bitmap_bucket_number(p), "_at": at}).join(maps, "_bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0
+    return out.select(*df.columns, F.coalesce(bit, F.lit(False)).alias("_maybe"))
+
+
+def filter_rows(df: DataFrame, keep) -> DataFrame:
+    """The rows of df, with all their columns, for which keep(Arrow batch) has true."""
+
+    def run(batches):
+        for batch in batches:
+            for b in blocks(batch, "text"):
+                yield b.filter(pa.array(keep(b)))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def crc_mod(col: str, mod: int) -> Column:

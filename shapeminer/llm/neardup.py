@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, blocks, gram_hashes, mix, span_hashes, text_bytes, words, written
+from .common import LOWER, NOT_SPACE, blocks, gram_hashes, maybe_among, mix, span_hashes, text_bytes, words, written
 from .components import components
 
 SYMBOLS, CHUNK = 40, 4
 #: Largest signature distance that the index is sure to find: one error a chunk at most in some chunk.
 MOST_ERRORS = 2 * (SYMBOLS // CHUNK) - 1
-#: Shingles of one side of a block pair, about; columns of one matrix product; bits of the id filter (log 2).
-BLOCK_SHINGLES, COLUMNS, BLOOM_BITS = 400_000, 8192, 25
+#: Shingles of one side of a block pair, about; columns of one matrix product.
+BLOCK_SHINGLES, COLUMNS = 400_000, 8192
 _MULT = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _SIGS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])
 
@@ -114,18 +114,6 @@ def _near(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     return joined.select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long")
 
 
-def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id may be among ids: a Bloom filter of 2^BLOOM_BITS bits, broadcast as bitmaps of 4 KB
-    (4 MB at most, whatever the input), saves shuffling the other texts. A superset; later joins are exact."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BLOOM_BITS))
-    maps = ids.select(place.alias("p")).select(F.bitmap_bucket_number("p").alias("bucket"), F.bitmap_bit_position("p").alias("at"))
-    maps = F.broadcast(maps.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")))
-    at = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(_at div 8 + 1 as int), 1)")), 16, 10).cast("int")
-    hit = docs.withColumns({"bucket": F.bitmap_bucket_number(place), "_at": at}).join(maps, "bucket")
-    return hit.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0).select("doc_id", "text")
-
-
 def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """(id, set) of the documents with these ids, and of a few others."""
 
@@ -136,7 +124,7 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                 at = pa.array(np.searchsorted(d, np.arange(b.num_rows + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(at, pa.array(g.view(np.int64)))], names=["id", "set"])
 
-    return _among(docs, ids).mapInArrow(run, "id long, set array<long>")
+    return maybe_among(docs, ids).where("_maybe").select("doc_id", "text").mapInArrow(run, "id long, set array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
@@ -238,3 +226,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, least: int = 80, id_co
     of = written(classes.join(found, classes.rep == found.node, "left").select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("c")), "classes")
     out = sigs.join(of, sigs.digest == of.d, "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def deduplicated(docs: DataFrame, *, shingle: int = 5, least: int = 80) -> DataFrame:
+    """docs without all but one document of each group of near duplicates; rows without a doc_id stay."""
+    gone = written(near_duplicates(docs, shingle=shingle, least=least).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    marked = maybe_among(docs, gone)
+    rest = marked.where("_maybe").drop("_maybe")
+    return marked.where("not _maybe").drop("_maybe").unionByName(rest.join(gone, rest["doc_id"] == gone["_gone"], "left_anti"))
