@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, blocks, span_hashes, text_bytes, words
+from .common import ALNUM, LOWER, blocks, filter_rows, span_hashes, text_bytes, words
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 CHUNK_BYTES = 16 << 20
@@ -187,6 +187,13 @@ def _judge(b: pa.RecordBatch, chunks, width: int) -> pa.RecordBatch:
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, *, width: int = 10) -> DataFrame:
+    """The rows of docs, whole, in which no test window occurs."""
+    items = benchmark.select(F.coalesce(benchmark["item_id"].cast("long"), F.lit(-1)).alias("i"), benchmark["text"].alias("t"))
+    chunks = phrase_chunks(items, "i", "t", width)
+    return filter_rows(docs, lambda b: ~_judge(b, chunks, width).column("contaminated").to_numpy(zero_copy_only=False))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id", item_text="text", width: int = 10, slop: int = 0) -> DataFrame:
     """Occurrences as rows (doc_id, item_id, start, end) in words: exact ones of each window, or, with slop,
     stretches of at most that many words that hold all of a window's terms in any order."""

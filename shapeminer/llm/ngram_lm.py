@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, blocks, crc_of, mix, span_hashes, text_bytes, words, written
+from .common import LOWER, NOT_SPACE, blocks, crc_of, mix, release, span_hashes, text_bytes, words, written
 from .eftrie import NgramTrie
 
 HELD_MOD, HELD_OUT, MU = 5, 1, 16.0
@@ -195,6 +195,7 @@ def score(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     total = counts.where("block = -1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     room = total.n + 0.5 * (total.v + 1)
     sent = written(_bigrams(parts, counts, total.n, total.v, word_shards, shards), "bigrams")
+    release(parts, counts)
     sums = written(_answers(sent.where("shard >= 0"), room, 1 << 32), "sums")
 
     def join(left, right):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, blocks, gram_hashes, mix, sigmoid, span_hashes, text_bytes, words
+from .common import NOT_SPACE, blocks, filter_rows, gram_hashes, mix, sigmoid, span_hashes, text_bytes, words
 from .labelled import held_out, sample
 
 #: Labelled documents of each class that are fitted at most.
@@ -105,22 +105,34 @@ def fit(examples: list[tuple[str, int]], *, beta: float = 0.9) -> tuple[np.ndarr
     return final.astype(np.float32), float(w[-1]) * beta, 4.0
 
 
+def _scores(model, texts) -> np.ndarray:
+    if model is None:
+        return np.full(len(texts), 0.5)
+    w, bias, slope = model
+    doc, feat = features(texts)
+    n = np.bincount(doc, minlength=len(texts))
+    return sigmoid(slope * (np.bincount(doc, w[feat], minlength=len(texts)) / np.sqrt(np.maximum(n, 1)) + bias))
+
+
+def _fitted(docs, labels, label, per_class, id_col, text_col):
+    model = fit(sample(docs, labels, label, per_class, id_col=id_col, text_col=text_col, most_chars=30_000))
+    return docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS floats at most
+
+
+def accepted(docs: DataFrame, labels: DataFrame, *, label="quality", threshold: float = 0.5, per_class: int = PER_CLASS) -> DataFrame:
+    """The rows of docs, whole, that score at least `threshold`."""
+    shared = _fitted(docs, labels, label, per_class, "doc_id", "text")
+    return filter_rows(docs, lambda b: _scores(shared.value, b.column("text")) >= threshold)
+
+
 def score(docs: DataFrame, labels: DataFrame, *, label="quality", id_col="doc_id", text_col="text", threshold: float = 0.5, per_class: int = PER_CLASS) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs; predicted is 1 from `threshold` on."""
-    model = fit(sample(docs, labels, label, per_class, id_col=id_col, text_col=text_col, most_chars=30_000))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS floats at most
+    shared = _fitted(docs, labels, label, per_class, id_col, text_col)
 
     def run(batches):
         for batch in batches:
             for b in blocks(batch, "text"):
-                if shared.value is None:
-                    s = np.full(b.num_rows, 0.5)
-                else:
-                    w, bias, slope = shared.value
-                    doc, feat = features(b.column("text"))
-                    n = np.bincount(doc, minlength=b.num_rows)
-                    s = sigmoid(slope * (np.bincount(doc, w[feat], minlength=b.num_rows) / np.sqrt(np.maximum(n, 1)) + bias))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s)], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_scores(shared.value, b.column("text")))], names=["doc_id", "score"])
 
     out = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -65,8 +65,14 @@ def op9_secrets(spark, sf_dir):
     return secret_spans(table(spark, sf_dir, "documents")).drop("verdicts")
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {k: v for k, v in globals().items() if k.startswith("op")}
+    return {k: v for k, v in globals().items() if k.startswith("op")} | {"pipeline": pipeline}
 
 
 def oracle_sql():

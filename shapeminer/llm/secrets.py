@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import maybe_among, written
 
 #: Base kinds in their listed order: pattern, group that must have `least` characters. Leftmost matches.
 BASE = (
@@ -115,6 +115,9 @@ def redacted(docs: DataFrame, *, mark: str = "[SECRET]", most_owners: int = 2) -
     """
     live = F.filter("verdicts", lambda s: s["verdict"] == "live")
     cuts = secret_spans(docs, most_owners=most_owners).where("n_live > 0").select(F.col("doc_id").alias("_id"), live.alias("_cuts")).dropDuplicates(["_id"])
+    cuts = written(cuts, "cuts")
+    marked = maybe_among(docs, cuts.select("_id"))
+    rest, docs = marked.where("not _maybe").drop("_maybe"), marked.where("_maybe").drop("_maybe")
     zero = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
@@ -124,4 +127,5 @@ def redacted(docs: DataFrame, *, mark: str = "[SECRET]", most_owners: int = 2) -
 
     clean = F.aggregate("_cuts", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"], F.length("text"))))
     out = docs.join(cuts, docs["doc_id"] == cuts["_id"], "left").withColumn("_clean", F.when(F.col("_cuts").isNotNull(), clean).otherwise(F.col("text")))
-    return out.select(*(F.col("_clean").alias("text") if c == "text" else F.length("_clean").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    out = out.select(*(F.col("_clean").alias("text") if c == "text" else F.length("_clean").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    return rest.unionByName(out)
