@@ -285,8 +285,12 @@ def fit(pages: list[str], *, made: int = 350, epochs: int = 8, seed: int = 4) ->
 
 def sample(pages: DataFrame, html_col: str, most: int = SAMPLE) -> list[str]:
     """At most `most` pages, those with the smallest hashes; none over 100,000 characters."""
-    some = pages.select(pages[html_col].alias("h")).where("length(h) <= 100000")
-    return [r.h for r in some.select("h", F.xxhash64("h").alias("k")).orderBy("k", "h").limit(most).collect()]
+    some = pages.select(pages[html_col].alias("t")).where("length(t) <= 100000").select("t", F.xxhash64("t").alias("h"))
+    last = some.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    rows = some.where(F.col("h") <= last).groupBy("h").agg(F.first("t").alias("t")).collect()  # no text but these is sent
+    return [r.t for r in sorted(rows, key=lambda r: r.h)]
 
 
 def main_text(pages: DataFrame, *, id_col="page_id", url_col="url", html_col="html", model: Labeller | None = None) -> DataFrame:
