@@ -159,10 +159,13 @@ def _generated(rng, vocabulary: list[str]) -> str:
         "form": lambda: pick(f"<form><label>{w(1, 3)}</label><button>{w(1, 2)}</button></form>", f"<form class='search'><p>{w(2, 6)}</p></form>"),
         "comments": lambda: pick(f"<section class='comments'><h3>{w(1, 3)}</h3><div class='comment'><p>{w(4, 60)}</p></div></section>", f"<div id='comments'><ul><li>{w(4, 40)}</li></ul></div>"),
     }
-    some = lambda *kinds: "".join(extras[k]() for k in rng.permutation(kinds) if rng.random() < 0.6)
+    junk = lambda: pick("", "site-", "page-", f"{vocabulary[rng.integers(len(vocabulary))]} ", "js-", "my_")
+    named = {k: sorted(own) for k, own in _DECLARED}
+    other = lambda k: f"<{(t := pick('div', 'section', 'div'))} {pick('class', 'id')}='{junk()}{pick(*named[k])}'>{pick(f'<p>{w(2, 30)}</p>', w(1, 12), f'<h3>{w(1, 4)}</h3><ul><li>{w(2, 8)}</li></ul>')}</{t}>"
+    some = lambda *kinds: "".join(other(k) if rng.random() < 0.4 else extras[k]() for k in rng.permutation(kinds) if rng.random() < 0.6)
     inner = f"<h1>{w(2, 9)}</h1>" * int(rng.random() < 0.8) + paras() + some("advert", "sidebar", "notice", "form")
     inner += paras() * int(rng.random() < 0.5)
-    body = pick(f"<article>{inner}</article>", f"<main>{inner}</main>", f"<main><article>{inner}</article>{some('comments')}</main>", f"<div class='content'>{inner}</div>", f"<div id='post'><div class='entry'>{inner}</div></div>", f"<article><header><h1>{w(2, 8)}</h1></header>{paras()}</article>", f"<div>{inner}</div>")
+    body = pick(f"<article>{inner}</article>", f"<main>{inner}</main>", f"<main><article>{inner}</article>{some('comments')}</main>", f"<div class='content'>{inner}</div>", f"<div id='post'><div class='entry'>{inner}</div></div>", f"<article><header><h1>{w(2, 8)}</h1></header>{paras()}</article>", f"<div>{inner}</div>", f"<div class='{junk()}{pick(*sorted(_MAIN))}'>{inner}</div>")
     return f"<html><head><title>{w(2, 5)}</title></head><body>{some('header', 'menu', 'notice', 'advert', 'form')}{body}{some('comments', 'sidebar', 'advert', 'form', 'notice')}{some('footer', 'menu')}</body></html>"
 
 
@@ -266,7 +269,7 @@ def _grid(count):
     return np.where(mask, t + (np.cumsum(count) - count)[None, :], 0), mask.astype(F32)
 
 
-def fit(pages: list[str], *, made: int = 350, epochs: int = 8, seed: int = 4) -> Labeller:
+def fit(pages: list[str], *, made: int = 600, epochs: int = 10, seed: int = 4) -> Labeller:
     rng, net = np.random.default_rng(seed), Labeller()
     parsed = [b for p in pages if (b := blocks_of(p))]
     vocabulary = sorted({w for p in parsed for t, _, _ in p[:30] for w in t.split()[:100]})[:20_000] or ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(500)]
