@@ -22,7 +22,7 @@ from .common import ALNUM, LOWER, blocks, sigmoid, span_hashes, text_bytes, word
 from .labelled import held_out, sample
 from .recurrent import F32, Adam, gru, gru_back, gru_params, gru_step, init
 
-PER_CLASS = 1200
+PER_CLASS = 700
 WINDOW, STRIDE = 32, 24
 DIM, HIDDEN, CHAR_BITS = 8, 8, 12
 
@@ -94,6 +94,9 @@ class Net:
     def logits(self, X, first, count):
         """Of windows, with the input projections shared by all that hold a word."""
         p, N = self.p, len(first)
+        if N:  # only the words that these windows hold
+            lo = int(first.min())
+            X, first = X[lo : int((first + count).max())], first - lo
         X = np.concatenate([X, np.zeros((1, 2 * DIM), F32)])
         states, full = [], int(count.min()) if N else 0
         for k, steps in (("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))):
@@ -179,9 +182,10 @@ def fit(examples: list[tuple[str, int]], *, rounds: int = 7, seed: int = 7) -> N
     if not len(y) or y.min() == y.max():
         return None
     h, tri, s, e, doc = _words_in_parts(pa.array([t for t, _ in examples], pa.string()))
-    pairs = np.unique(np.stack([h, doc.astype(np.uint64)]), axis=1)
-    kinds, inverse = np.unique(pairs[0], return_inverse=True)
-    pos, neg = (np.bincount(inverse, weights=y[pairs[1].astype(np.int64)] == k, minlength=len(kinds)) for k in (1, 0))
+    kinds, inverse = np.unique(h, return_inverse=True)
+    pairs = np.unique(inverse * len(y) + doc)  # a word counts once in a document
+    of, label = pairs // len(y), y[pairs % len(y)]
+    pos, neg = (np.bincount(of, label == k, minlength=len(kinds)) for k in (1, 0))
     prior = np.log((pos + 0.5) / (y == 1).sum()) - np.log((neg + 0.5) / (y == 0).sum())
     prior *= (pos + neg) / (pos + neg + 10)  # few documents, perhaps copies of one, are weak evidence
     seen = pos + neg >= 5
