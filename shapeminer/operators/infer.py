@@ -46,6 +46,14 @@ FIXED = tuple(Candidate("datetime", p) for p in C.FIXED_FORMATS)
 ALL = CASCADE + FIXED
 
 
+def try_conversion(hist: DataFrame, convert, budget: int = 0) -> DataFrame:
+    """Per path, whether convert (a function of a Column that is NULL for bad values) suits the histogram
+    (path_id, v, n): bad values cost their count, at most `budget` in all, and one value at least must convert."""
+    got = convert(F.col("v"))
+    tried = hist.groupBy("path_id").agg(F.coalesce(F.sum(F.when(got.isNull(), F.col("n"))), F.lit(0)).alias("bad"), F.count_if(got.isNotNull()).alias("good"))
+    return tried.withColumn("converts", (F.col("bad") <= budget) & (F.col("good") > 0))
+
+
 def prepared(hist: DataFrame, options: Options) -> DataFrame:
     """The histogram (path_id, v, n) of strings with white space stripped, if that is wanted."""
     if not options.strip_whitespace:

@@ -15,22 +15,49 @@ def histogram(df: DataFrame, value: Column, *path: str) -> DataFrame:
     return df.groupBy(*path, value.alias("v")).agg(F.count("*").alias("n"))
 
 
-def statistics(hist: DataFrame, *path: str, value: str = "v") -> DataFrame:
+def statistics(hist: DataFrame, *path: str, value: str = "v", spread: int = 0) -> DataFrame:
     """card, distinct_values, min, q1, q2, q3, max, is_unique of each path.
 
     A quartile is the first value before which there are at least k quarters (rounded down) of all; else the
-    largest. The window runs over distinct values of one path.
+    largest. Plainly, one window runs over the distinct values of a path. With spread, a path with more distinct
+    values than SPREAD_FROM is cut into about that many ranges of values, each with a window of its own, so no task
+    holds a whole path; the histogram is then read three times and should be persisted or cheap.
     """
     hist = hist.where(F.col(value).isNotNull())
-    ordered = Window.partitionBy(*path).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    of = Window.partitionBy(*path)
-    h = hist.withColumns({"_before": F.coalesce(F.sum("n").over(ordered), F.lit(0)), "_card": F.sum("n").over(of)})
+    part, before = [*path], F.lit(0)
+    if spread:
+        hist, part, before = *_ranged(hist, path, value, spread), F.col("_offset")
+    ordered = Window.partitionBy(*part).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    h = hist.withColumn("_before", F.coalesce(F.sum("n").over(ordered), F.lit(0)) + before)
+    if not spread:
+        h = h.withColumn("_card", F.sum("n").over(Window.partitionBy(*path)))
     q = lambda k: F.coalesce(F.min(F.when(F.expr(f"_before >= ({k} * _card) div 4"), F.col(value))), F.max(value)).alias(f"q{k}")
     return h.groupBy(*path).agg(
         F.max("_card").alias("card"), F.count("*").alias("distinct_values"), F.min(value).alias("min"), q(1), q(2), q(3), F.max(value).alias("max"), (F.max("n") == 1).alias("is_unique")
     )
 
 
+#: Distinct values up to which one window per path will do.
+SPREAD_FROM = 100_000
+
+
+def _ranged(hist: DataFrame, path, value: str, spread: int):
+    """The histogram with _card, the value's range and the count before that range; and the partition columns.
+
+    Range borders are a fixed hash sample of the path's own values: about `spread` of them for each path.
+    """
+    sizes = hist.groupBy(*path).agg(F.count("*").alias("_k"), F.sum("n").alias("_card"))
+    step = F.greatest(F.lit(1), F.floor(F.col("_k") / spread)).cast("bigint")
+    big = hist.join(F.broadcast(sizes), [*path]).where(f"_k > {SPREAD_FROM}")  # a row per path
+    cuts = big.where(F.pmod(F.xxhash64(value), step) == 0).groupBy(*path).agg(F.array_sort(F.collect_list(value)).alias("_cuts"))
+    held = hist.join(F.broadcast(sizes.join(cuts, [*path], "left").drop("_k")), [*path])
+    held = held.withColumn("_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))).drop("_cuts")
+    totals = held.groupBy(*path, "_range").agg(F.sum("n").alias("_n"))
+    run = Window.partitionBy(*path).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*path, "_range", F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_offset"))
+    return held.join(F.broadcast(offsets), [*path, "_range"]), [*path, "_range"]
+
+
 def lengths(hist: DataFrame, *path: str, value: str = "v") -> DataFrame:
     """The histogram of the values' lengths."""
     return hist.groupBy(*path, F.length(value).alias("v")).agg(F.sum("n").alias("n"))

@@ -392,6 +392,8 @@ def parse_duration_interval(spark, sf_dir):
     return spark.createDataFrame(rows, "s string, seconds double")
 
 
+#: Rows (a metadata count) from which a path's window is spread over ranges of values.
+_LARGE = 20_000_000
 _PROFILED = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
@@ -401,7 +403,25 @@ def profile_lineitem(spark, sf_dir):
     li = _t(spark, sf_dir, "lineitem")
     cols = ", ".join(f"'{c}', cast({c} as double)" for c in _PROFILED)
     cells = li.selectExpr(f"stack({len(_PROFILED)}, {cols}) as (path_id, v)")
-    return stats.statistics(stats.histogram(cells, F.col("v"), "path_id"), "path_id")
+    return stats.statistics(stats.histogram(cells, F.col("v"), "path_id"), "path_id", spread=64 if li.count() > _LARGE else 0)
+
+
+@_query("""SELECT 'price' AS path_id, CAST(0 AS BIGINT) AS bad, count(DISTINCT CAST(o_totalprice AS VARCHAR)) AS good, true AS converts FROM orders
+UNION ALL SELECT 'status', count(*), 0, false FROM orders""")
+def try_conversion_float(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    both = o.selectExpr("'price' AS path_id", "cast(cast(o_totalprice AS decimal(18,2)) AS string) AS v").union(o.selectExpr("'status' AS path_id", "o_orderstatus AS v"))
+    return infer.try_conversion(stats.histogram(both, F.col("v"), "path_id"), C.parse_float)
+
+
+@_query("SELECT count(*) FILTER (WHERE l_linenumber % 5 <> 0) AS tuples, count(*) FILTER (WHERE l_linenumber % 5 = 0) AS others FROM lineitem")
+def validate_tuple_lengths(spark, sf_dir):
+    from .pattern import Node, Stats
+
+    node = Node("tuple", lengths=Stats(1, 1, 2, 2, 2, 2, 2, True))
+    v = F.to_variant_object(F.when(F.col("l_linenumber") % 5 == 0, F.array("l_tax")).otherwise(F.array("l_tax", "l_discount")))
+    ok = _t(spark, sf_dir, "lineitem").select(node.accepts(v).alias("ok"))
+    return ok.agg(F.count_if("ok").alias("tuples"), F.count_if(~F.col("ok")).alias("others"))
 
 
 @_query()

@@ -119,6 +119,25 @@ class Node:
                 ok = ok & c.rlike(f"^{nested}" + ("" if strict else "$"))
         return F.coalesce(ok, F.lit(False))
 
+    def accepts(self, v: Column) -> Column:
+        """Whether a VARIANT column's value is of this type: containers by kind (and a tuple by its length), scalars
+        by predicate."""
+        shape = F.schema_of_variant(v)
+        if self.kind in ("record", "table"):
+            return shape.startswith("OBJECT")
+        if self.kind in ("list", "tuple"):
+            size = F.size(F.try_variant_get(v, "$", "array<variant>"))
+            return shape.startswith("ARRAY") & (size.between(self.lengths.min, self.lengths.max) if self.kind == "tuple" and self.lengths else F.lit(True))
+        if self.kind in ("value", "empty"):
+            return F.lit(True)
+        if self.repr == "str" or self.kind in ("str", "url"):
+            return (shape == "STRING") & self.predicate(F.try_variant_get(v, "$", "string"))
+        if self.kind == "bool":
+            return shape.isin("BOOLEAN") | F.coalesce(F.try_variant_get(v, "$", "double").isin(0, 1), F.lit(False))
+        if self.kind == "datetime" and not self.repr:
+            return self.predicate(F.try_variant_get(v, "$", "timestamp"))
+        return ~shape.isin("STRING", "BOOLEAN") & self.predicate(F.try_variant_get(v, "$", "double"))
+
     def key_predicate(self, c: Column) -> Column:
         return self.predicate(C.stripped(c))
 
