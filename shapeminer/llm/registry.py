@@ -76,4 +76,7 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    """Trained models, tokenizer ids and containers are beyond SQL; those queries have brute-force tests."""
+    from . import oracles
+
+    return {"op4_decontamination": oracles.DECONTAMINATION, "op9_secrets": oracles.SECRETS, "op10_near_dedup": oracles.NEAR_DEDUP}
