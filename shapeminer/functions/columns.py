@@ -31,11 +31,35 @@ def parse_bool(c: Column, pair: str) -> Column:
     return F.when(v == no, F.lit(False)).when(v == yes, F.lit(True))
 
 
-def parse_int(c: Column, base: int) -> Column:
-    """As decimal(38,0): sign, surrounding space, single underscores between digits and the base's prefix are fine."""
+def is_bool(c: Column, pair: str) -> Column:
+    no, yes = pair.split("|")
+    return c.rlike(rf"^\s*(?i:{no}|{yes})\s*$")
+
+
+def _int_shape(base: int) -> str:
     digit = {8: "[0-7]", 10: "[0-9]", 16: "[0-9a-fA-F]"}[base]
     prefix = {8: "(?:0[oO]_?)?", 10: "", 16: "(?:0[xX]_?)?"}[base]
-    shape = rf"^\s*([+-]?){prefix}({digit}(?:_?{digit})*)\s*$"
+    return rf"^\s*([+-]?){prefix}({digit}(?:_?{digit})*)\s*$"
+
+
+_NUMBER = r"[0-9](?:_?[0-9])*"
+_FLOAT_SHAPE = rf"^\s*[+-]?(?:(?:{_NUMBER}\.?(?:{_NUMBER})?|\.{_NUMBER})(?:[eE][+-]?{_NUMBER})?|(?i:inf|infinity))\s*$"
+#: What any of the datetime formats begins with.
+DATETIME_LEAD = r"^(?:\d{4}-\d|[A-Z][a-z]{2}, )"
+
+
+def is_int(c: Column, base: int) -> Column:
+    """Shape alone; up to 30 characters it is enough."""
+    return c.rlike(_int_shape(base))
+
+
+def is_float(c: Column) -> Column:
+    return c.rlike(_FLOAT_SHAPE)
+
+
+def parse_int(c: Column, base: int) -> Column:
+    """As decimal(38,0): sign, surrounding space, single underscores between digits and the base's prefix are fine."""
+    shape = _int_shape(base)
     digits = F.regexp_replace(F.regexp_extract(c, shape, 2), "_", "")
     if base == 10:
         value = digits.try_cast("decimal(38,0)")
@@ -48,9 +72,7 @@ def parse_int(c: Column, base: int) -> Column:
 
 def parse_float(c: Column) -> Column:
     """As double; NaN is bad, infinities are fine."""
-    n = r"[0-9](?:_?[0-9])*"
-    shape = rf"^\s*[+-]?(?:(?:{n}\.?(?:{n})?|\.{n})(?:[eE][+-]?{n})?|(?i:inf|infinity))\s*$"
-    return F.when(c.rlike(shape), F.regexp_replace(stripped(c), "_", "").try_cast("double"))
+    return F.when(is_float(c), F.regexp_replace(stripped(c), "_", "").try_cast("double"))
 
 
 def parse_datetime(c: Column, fmt: str) -> Column:

@@ -28,6 +28,16 @@ class Candidate:
     kind: str
     pattern: str
 
+    def valid(self, c: Column) -> Column:
+        """Whether a value converts, of values short enough to be tried."""
+        if self.kind == "bool":
+            return C.is_bool(c, self.pattern)
+        if self.kind == "int":
+            return C.is_int(c, C.INT_BASES[self.pattern])
+        if self.kind == "float":
+            return C.is_float(c)
+        return C.parse_datetime(c, self.pattern).isNotNull()
+
     def __call__(self, c: Column) -> Column:
         if self.kind == "bool":
             return C.parse_bool(c, self.pattern)
@@ -69,11 +79,19 @@ def evidence(hist: DataFrame, options: Options) -> DataFrame:
         F.min(F.when(filled, F.length(v))).alias("min_len"), F.max(F.when(filled, F.length(v))).alias("max_len"),
         F.coalesce(F.bool_and(F.when(filled, C.is_url(v))), F.lit(False)).alias("url"),
     ]
+    # whether each candidate converts, computed once a value; most values are ruled out of all the dates by their lead
+    short = F.length(v) <= options.max_numeric_len
+    plain = [short & c.valid(v) for c in ALL if c.kind != "datetime"]
+    dates = [c.valid(v) for c in ALL if c.kind == "datetime"]
+    none = F.array(*[F.lit(False)] * len(dates))
+    tried = hist.select("path_id", "v", "n", F.array(*plain).alias("plain"), F.when((F.length(v) <= _DATETIME_LEN) & v.rlike(C.DATETIME_LEAD), F.array(*dates)).otherwise(none).alias("dates"))
+    at = {"plain": 0, "dates": 0}
     for k, c in enumerate(ALL):
-        longest = _DATETIME_LEN if c.kind == "datetime" else options.max_numeric_len
-        got = F.when(F.length(v) <= longest, c(v))
-        aggs += [F.coalesce(F.sum(F.when(filled & got.isNull(), F.col("n"))), F.lit(0)).alias(f"bad{k}"), F.count_if(filled & got.isNotNull()).alias(f"good{k}")]
-    return hist.groupBy("path_id").agg(*aggs)
+        part = "dates" if c.kind == "datetime" else "plain"
+        ok = F.col(part)[at[part]]
+        at[part] += 1
+        aggs += [F.coalesce(F.sum(F.when(filled & ~ok, F.col("n"))), F.lit(0)).alias(f"bad{k}"), F.count_if(filled & ok).alias(f"good{k}")]
+    return tried.groupBy("path_id").agg(*aggs)
 
 
 def chosen(row, options: Options, bad_threshold: Fraction | None = None) -> tuple[str, Candidate | None, bool]:

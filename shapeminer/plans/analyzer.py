@@ -194,7 +194,8 @@ class Analyzer:
         strings = strings.persist(StorageLevel.MEMORY_AND_DISK)
         held += [every, strings]
         loose = {p + "{key}" for p in forced}
-        seen = {r.path_id: r for r in infer.evidence(strings, o).collect()}
+        texts = key_hists or any(f["mode"] == "str" for f in facts.values())
+        seen = {r.path_id: r for r in infer.evidence(strings, o).collect()} if texts else {}
         picks = {p: infer.chosen(r, o, Fraction(0) if p in loose else None) for p, r in seen.items()}
         typed = self._numbers(every, facts)
         if picks:
