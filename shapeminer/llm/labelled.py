@@ -28,6 +28,6 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, *, id
         return []
     spark = docs.sparkSession
     few = F.broadcast(spark.createDataFrame([(r.id, r.y) for r in chosen], "id long, y int"))  # at most 2 * per_class rows
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("t")).where(f"t is not null and length(t) <= {most_chars}").join(few, "id").collect()
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("t")).where(f"t is not null and length(t) <= {most_chars}").join(few, "id").dropDuplicates(["id"]).collect()
     rows.sort(key=lambda r: (r.id, r.t))
     return [(r.t, r.y) for r in rows]
