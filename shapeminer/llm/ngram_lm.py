@@ -43,6 +43,12 @@ def _unpack(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel()
 
 
+def _inverse(order: np.ndarray) -> np.ndarray:
+    out = np.empty_like(order)
+    out[order] = np.arange(len(order))
+    return out
+
+
 def _delta(a):
     return np.diff(a, prepend=a.dtype.type(0))
 
@@ -61,6 +67,8 @@ def _tokenised(docs: DataFrame) -> DataFrame:
                 tokens = np.full(len(s) + n, END, np.uint64)
                 tokens[np.arange(len(s)) + doc] = _hashes(LOWER[data], s, e)
                 kinds, tokens = np.unique(tokens, return_inverse=True)
+                order = np.argsort(-np.bincount(tokens), kind="stable")  # small numbers for frequent words compress
+                kinds, tokens = kinds[order], _inverse(order)[tokens]
                 ids = b.column("doc_id").to_pylist()
                 held = np.array([crc_of(x) % HELD_MOD == HELD_OUT for x in ids], bool)
                 counts = np.bincount(tokens[np.repeat(~held, lens)], minlength=len(kinds))
@@ -104,6 +112,8 @@ def _word_counts(parts: DataFrame, shards: int) -> DataFrame:
         each = [np.frombuffer(r["words"], np.uint64) for r in rows]
         kinds, at = np.unique(np.concatenate(each), return_inverse=True)
         total = np.bincount(at, np.concatenate([_unpack(r["counts"], "<u4") for r in rows]), minlength=len(kinds)).astype(np.int64)
+        at = _inverse(np.argsort(-total, kind="stable"))[at]
+        total = -np.sort(-total)
         ends = np.cumsum([len(x) for x in each])
         parts = [at[hi - len(x) : hi] for x, hi in zip(each, ends)]
         k = key[0].as_py()
