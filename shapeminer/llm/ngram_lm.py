@@ -26,7 +26,7 @@ from .common import LOWER, NOT_SPACE, blocks, crc_of, mix, release, span_hashes,
 from .eftrie import NgramTrie
 
 HELD_MOD, HELD_OUT, MU = 5, 1, 16.0
-BLOCK_BYTES, SHARD_WORDS, SHARD_TOKENS = 8 << 20, 1_000_000, 2_500_000
+BLOCK_BYTES, SHARD_WORDS, SHARD_TOKENS = 8 << 20, 1_000_000, 1_200_000
 END = np.uint64(0x454E442D454E4421)
 _BLOCK = "block long, docs array<long>, held binary, lens binary, words binary, counts binary, tokens binary, n_words long, n_tokens long"
 
@@ -146,17 +146,21 @@ def _bigrams(parts: DataFrame, counts: DataFrame, n: int, v: int, word_shards: i
                 c[shard == k], ids[shard == k] = _unpack(by[k]["counts"], np.int64), _unpack(by[k]["ids"], np.int64)
             tokens, lens = _unpack(r["tokens"], "<u4").astype(np.int64), np.frombuffer(r["lens"], "<i4").astype(np.int64)
             held = np.frombuffer(r["held"], bool)
-            doc = np.repeat(np.arange(len(lens)), lens)
+            doc = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
             ct = c[tokens]
             base = np.bincount(doc, np.log10((ct + 0.5) / room), minlength=len(lens))
             known = np.bincount(doc[ct > 0], minlength=len(lens))
             out.append({"shard": -1, "block": r["block"], "docs": r["docs"], "held": r["held"], "lens": r["lens"], "known": known.tobytes(), "base": base.tobytes()})
             # number 0 is the start of a text; its count is that of the ends
             first = np.cumsum(lens) - lens
-            before = np.r_[0, ids[tokens[:-1]] + 1]
+            number = (ids + 1).astype(np.uint64)[tokens]
+            keys = number.copy()
+            keys[1:] |= number[:-1] << np.uint64(32)
+            keys[first] = number[first]
             before_c = np.r_[0, ct[:-1]]
-            before[first], before_c[first] = 0, ct[first + lens - 1]
-            keys, place, inverse = np.unique(before.astype(np.uint64) << np.uint64(32) | (ids[tokens] + 1).astype(np.uint64), return_index=True, return_inverse=True)
+            before_c[first] = ct[first + lens - 1]
+            del number, tokens
+            keys, place, inverse = np.unique(keys, return_index=True, return_inverse=True)
             own = np.bincount(inverse[np.repeat(~held, lens)], minlength=len(keys))
             order = np.argsort(inverse, kind="stable")
             per, at = np.bincount(inverse, minlength=len(keys)), doc[order]
