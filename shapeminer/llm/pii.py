@@ -290,8 +290,12 @@ def merged(base, found, text: str):
 
 def sample(docs: DataFrame, text_col: str, most: int = SAMPLE) -> list[str]:
     """At most `most` texts that hold triggers, those with the smallest text hashes; none over 20,000 characters."""
-    some = docs.select(docs[text_col].alias("t")).where("t rlike '[0-9@]' and length(t) <= 20000")
-    return [r.t for r in some.select("t", F.xxhash64("t").alias("h")).orderBy("h", "t").limit(most).collect()]
+    some = docs.select(docs[text_col].alias("t")).where("t rlike '[0-9@]' and length(t) <= 20000").select("t", F.xxhash64("t").alias("h"))
+    last = some.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    rows = some.where(F.col("h") <= last).groupBy("h").agg(F.first("t").alias("t")).collect()  # no text but these is sent
+    return [r.t for r in sorted(rows, key=lambda r: r.h)]
 
 
 def detect(docs: DataFrame, *, id_col="doc_id", text_col="text", model: Tagger | None = None) -> DataFrame:
