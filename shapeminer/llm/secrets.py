@@ -1,6 +1,6 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame functions only.
 
-Candidates are the three base kinds (assign, access, hex) and further token shapes. Each candidate's value is
+Candidates are the three base kinds (assign, access, hex), further token shapes and bearer headers. Each candidate's value is
 hashed; per hash the corpus gives the distinct repositories and owners that hold it. A value that is spread over
 many owners is a copied example; one that few owners hold, and that looks random enough, is live-looking. Base
 spans are always reported; a further candidate is reported (kind `live`) only if it is live-looking.
@@ -27,6 +27,8 @@ BASE = (
 )
 #: Further shapes: vendor-prefixed tokens, signed web tokens.
 MORE = r"()((?:gh[pousr]_|glpat-|sk_live_|sk-|xox[abprs]-)[A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"
+#: Bearer headers, whose tokens have no shape of their own; the span holds the keyword, as that of `assign` does.
+BEARER = r"([Bb]earer\x20+)([A-Za-z0-9+/_.=-]{20,})"
 
 
 def _spans(text: Column, kind: str, pattern: str, least: int) -> Column:
@@ -73,7 +75,7 @@ def candidates(docs: DataFrame, *, id_col="doc_id", text_col="text", owner: Colu
     repo = F.concat_ws("/", docs["source"], docs["lang"]) if repo is None else repo
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.coalesce(repo.cast("string"), F.lit("")).alias("repo"))
-    spans = F.concat(*(_spans(text, k, p, n) for k, p, n in BASE), _spans(text, "live", MORE, 1))
+    spans = F.concat(*(_spans(text, k, p, n) for k, p, n in BASE), *(_spans(text, "live", p, 1) for p in (MORE, BEARER)))
     return base.select("doc_id", "owner", "repo", _ordered(spans).alias("spans"))
 
 

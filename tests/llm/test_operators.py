@@ -206,6 +206,17 @@ def test_secrets(spark, none):
     assert secrets.secret_spans(none).count() == 0
 
 
+def test_secrets_bearer(spark):
+    token, shared = "q7Rk2+Zp/9tLx_4Vb.8sN=-1", "Ab3Cd5Ef7Gh9Jk1Lm3Np5"
+    rows = [f"é Authorization: Bearer {token}\n", f"bearer  {token}", "Bearer shortTok3n", "bearer " + "z" * 30, "forbearers"] + [f"Bearer {shared}"] * 4
+    docs = spark.createDataFrame([(k, t, "en", f"s{k}", 0) for k, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in secrets.secret_spans(docs).collect()}
+    assert [got[k].spans for k in range(5)] == ["live:17:48", "live:0:32", "", "", ""]
+    assert [(got[k].spans, got[k].n_live) for k in range(5, 9)] == [("", 0)] * 4  # four owners hold it
+    clean = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
+    assert clean[0] == "é Authorization: [SECRET]\n" and clean[1] == "[SECRET]" and all(clean[k] == rows[k] for k in range(2, 9))
+
+
 def _labelled(spark, mark, n=240):
     r = random.Random(11)
     rows, labels = [], []
