@@ -229,8 +229,18 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, least: int = 80, id_co
 
 
 def deduplicated(docs: DataFrame, *, shingle: int = 5, least: int = 80) -> DataFrame:
-    """docs without all but one document of each group of near duplicates; rows without a doc_id stay."""
-    gone = written(near_duplicates(docs, shingle=shingle, least=least).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    marked = maybe_among(docs, gone)
-    rest = marked.where("_maybe").drop("_maybe")
-    return marked.where("not _maybe").drop("_maybe").unionByName(rest.join(gone, rest["doc_id"] == gone["_gone"], "left_anti"))
+    """docs without all but one row of each group of near duplicates: the one with the smallest doc_id, null last.
+
+    Rows are told apart by a number that is written with them, so null and repeated doc_ids are fine.
+    """
+    columns = docs.columns
+    docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    near = written(near_duplicates(docs, shingle=shingle, least=least, id_col="_row").where("not kept").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), "near")
+    grouped = near.unionByName(near.select(F.col("_group").alias("_row"), "_group").distinct())
+    grouped = written(docs.select("_row", "doc_id").join(grouped, "_row").select("_row", "_group", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("rank")), "grouped")
+    first = grouped.groupBy("_group").agg(F.min("rank").alias("first"))
+    gone = written(grouped.join(first, "_group").where("_row != first._row").select(F.col("_row").alias("_gone")), "gone")
+    marked = maybe_among(docs, gone, "_row")
+    rest = marked.where("_maybe")
+    rest = rest.join(gone, rest["_row"] == gone["_gone"], "left_anti")
+    return marked.where("not _maybe").select(*columns).unionByName(rest.select(*columns))

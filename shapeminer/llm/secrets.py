@@ -71,12 +71,19 @@ def _randomness(value: Column) -> Column:
 
 def candidates(docs: DataFrame, *, id_col="doc_id", text_col="text", owner: Column | None = None, repo: Column | None = None) -> DataFrame:
     """One row per document with its candidate spans, in order; only those rows with any are worth a join."""
+    base = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *_held_by(docs, owner, repo))
+    return base.select("doc_id", "owner", "repo", _found(F.col("text")).alias("spans"))
+
+
+def _held_by(docs: DataFrame, owner: Column | None = None, repo: Column | None = None) -> tuple[Column, Column]:
     owner = docs["source"] if owner is None else owner
     repo = F.concat_ws("/", docs["source"], docs["lang"]) if repo is None else repo
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.coalesce(repo.cast("string"), F.lit("")).alias("repo"))
-    spans = F.concat(*(_spans(text, k, p, n) for k, p, n in BASE), *(_spans(text, "live", p, 1) for p in (MORE, BEARER)))
-    return base.select("doc_id", "owner", "repo", _ordered(spans).alias("spans"))
+    return F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.coalesce(repo.cast("string"), F.lit("")).alias("repo")
+
+
+def _found(text: Column) -> Column:
+    text = F.coalesce(text, F.lit(""))
+    return _ordered(F.concat(*(_spans(text, k, p, n) for k, p, n in BASE), *(_spans(text, "live", p, 1) for p in (MORE, BEARER))))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -92,7 +99,12 @@ def secret_spans(docs: DataFrame, *, most_owners: int = 2, id_col="doc_id", text
     n_copied and n_live split the distinct places by ownership: copied if over `most_owners` owners hold the
     value, live if fewer do and it looks random. `verdicts` has (start, end, kind, owners, repos, verdict).
     """
-    found = written(candidates(docs, id_col=id_col, text_col=text_col, owner=owner, repo=repo).withColumn("row", F.monotonically_increasing_id()), "secrets")
+    found = candidates(docs, id_col=id_col, text_col=text_col, owner=owner, repo=repo).withColumn("row", F.monotonically_increasing_id())
+    return _judged(written(found, "secrets"), most_owners).drop("row")
+
+
+def _judged(found: DataFrame, most_owners: int) -> DataFrame:
+    """secret_spans and the row number of candidates that are written with one."""
     some = found.where(F.size("spans") > 0)
     each = some.select("row", F.explode("spans").alias("s")).withColumn("hash", F.xxhash64("s.value"))
     judged = each.join(written(ownership(some), "owners"), "hash")
@@ -105,7 +117,7 @@ def secret_spans(docs: DataFrame, *, most_owners: int = 2, id_col="doc_id", text
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     judged_as = lambda k: F.size(F.filter(verdicts, lambda s: s["verdict"] == k)).cast("long").alias(f"n_{k}")
     return out.select(
-        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(_text_of(base).cast("binary"), 256).alias("base_sha256"),
+        "row", "doc_id", count("assign"), count("access"), count("hex"), F.sha2(_text_of(base).cast("binary"), 256).alias("base_sha256"),
         _text_of(verdicts).alias("spans"), judged_as("live"), judged_as("copied"), verdicts.alias("verdicts"),
     )
 
@@ -113,13 +125,16 @@ def secret_spans(docs: DataFrame, *, most_owners: int = 2, id_col="doc_id", text
 def redacted(docs: DataFrame, *, mark: str = "[SECRET]", most_owners: int = 2) -> DataFrame:
     """docs with the spans of live-looking credentials replaced by `mark`; copied examples stay as they are.
 
-    Rows and columns stay; n_chars follows the text. Rows are tied by doc_id, which must identify them.
+    Rows and columns stay; n_chars follows the text. Rows are written once with their candidates and a row number,
+    by which the cuts are tied to them: null and repeated doc_ids are fine.
     """
+    columns, (owner, repo) = docs.columns, _held_by(docs)
+    held = written(docs.withColumns({"_row": F.monotonically_increasing_id(), "_owner": owner, "_repo": repo, "_spans": _found(F.col("text"))}), "secrets")
+    found = held.select(F.col("_row").alias("row"), "doc_id", F.col("_owner").alias("owner"), F.col("_repo").alias("repo"), F.col("_spans").alias("spans"))
     live = F.filter("verdicts", lambda s: s["verdict"] == "live")
-    cuts = secret_spans(docs, most_owners=most_owners).where("n_live > 0").select(F.col("doc_id").alias("_id"), live.alias("_cuts")).dropDuplicates(["_id"])
-    cuts = written(cuts, "cuts")
-    marked = maybe_among(docs, cuts.select("_id"))
-    rest, docs = marked.where("not _maybe").drop("_maybe"), marked.where("_maybe").drop("_maybe")
+    cuts = written(_judged(found, most_owners).where("n_live > 0").select(F.col("row").alias("_row"), live.alias("_cuts")), "cuts")
+    marked = maybe_among(held.select(*columns, "_row"), cuts.select("_row"), "_row")
+    rest, docs = marked.where("not _maybe").select(*columns), marked.where("_maybe").drop("_maybe")
     zero = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
@@ -128,6 +143,6 @@ def redacted(docs: DataFrame, *, mark: str = "[SECRET]", most_owners: int = 2) -
         return F.struct(F.greatest(acc["at"], s["end"] + 1).alias("at"), F.concat(acc["out"], lead, F.when(fresh, mark).otherwise("")).alias("out"))
 
     clean = F.aggregate("_cuts", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"], F.length("text"))))
-    out = docs.join(cuts, docs["doc_id"] == cuts["_id"], "left").withColumn("_clean", F.when(F.col("_cuts").isNotNull(), clean).otherwise(F.col("text")))
-    out = out.select(*(F.col("_clean").alias("text") if c == "text" else F.length("_clean").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    out = docs.join(cuts, "_row", "left").withColumn("_clean", F.when(F.col("_cuts").isNotNull(), clean).otherwise(F.col("text")))
+    out = out.select(*(F.col("_clean").alias("text") if c == "text" else F.length("_clean").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in columns))
     return rest.unionByName(out)

@@ -217,6 +217,23 @@ def test_secrets_bearer(spark):
     assert clean[0] == "é Authorization: [SECRET]\n" and clean[1] == "[SECRET]" and all(clean[k] == rows[k] for k in range(2, 9))
 
 
+def test_redacted_null_and_repeated_ids(spark):
+    one, two = "0123456789abcdef" * 2, "fedcba9876543210" * 2
+    rows = [(None, f"token={one} a", "x", None), (None, "plain", None, None), (None, None, "x", 0), (5, f"{two} b", None, 7), (5, f"long lead secret={one}", "x", 7), (5, f"{two} b", None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").selectExpr("doc_id", "text", "cast(null as string) as lang", "source", "n_chars")
+    got = Counter((r.doc_id, r.text, r.n_chars) for r in secrets.redacted(docs).collect())
+    assert got == Counter([(None, "[SECRET] a", 10), (None, "plain", None), (None, None, 0), (5, "[SECRET] b", 10), (5, "[SECRET] b", 10), (5, "long lead [SECRET]", 18)])
+
+
+def test_deduplicated_null_and_repeated_ids(spark):
+    r = random.Random(3)
+    a, b, c, d = (prose(90, r) for _ in range(4))
+    rows = [(4, a), (4, a), (9, a), (None, a), (4, b), (None, c), (None, c), (7, d), (None, None), (None, None), (8, "")]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, lang string")
+    got = Counter((r.doc_id, r.text) for r in neardup.deduplicated(docs).collect())
+    assert got == Counter([(4, a), (4, b), (None, c), (7, d), (None, None), (None, None), (8, "")])
+
+
 def _labelled(spark, mark, n=240):
     r = random.Random(11)
     rows, labels = [], []
