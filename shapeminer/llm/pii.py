@@ -1,6 +1,6 @@
 """Personal data: base patterns, and a character-level bidirectional LSTM with a CRF, trained in numpy.
 
-Every span that the model is taught holds a digit, an at sign or a bracketed "at", so windows cover all that lies
+Every span that the model is taught holds a digit, an at sign, a bracketed "at" or an "at" with a "dot" behind it, so windows cover all that lies
 within MARGIN characters of one; elsewhere every tag is O by construction. Windows overlap; each character takes
 its tag from the window in which it lies most centrally, and spans are read off the document's whole tag sequence.
 Base spans are always kept; model spans that touch none of them are added.
@@ -28,7 +28,7 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE, MARGIN, WINDOW, STRIDE, DIM, HIDDEN = 400, 48, 96, 48, 12, 16
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 
-_TRIGGER = re.compile(r"[0-9@]|[\[(](?:at|AT)[\])]")
+_TRIGGER = re.compile(r"[0-9@]|[\[({<]\s{0,3}(?i:at)\s{0,3}[\])}>]|\s(?i:at)\s(?=[^\n]{1,40}?(?i:\sdot\s|[\[({<]\s?dot))")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a match that fails from a number's first digit fails from its others, too
@@ -237,6 +237,7 @@ def planted(rng) -> tuple[str, int | None]:
     d, w = lambda n: _digits(rng, n), lambda: _word(rng)
     forms = (
         lambda: (f"{w()}.{d(2)}@{w()}.{w()}.com", 0), lambda: (f"{w()}@{w()}.org", 0), lambda: (f"{w()}[at]{w()}.com", 0), lambda: (f"{w()}.{w()} (at) {w()}.net", 0),
+        lambda: (f"{w()} [ at ] {w()}.com", 0), lambda: (f"{w()}{{at}}{w()}.org", 0), lambda: (f"{w()}<at>{w()}.com", 0), lambda: (f"{w()} at {w()} dot com", 0), lambda: (f"{w()}.{w()} at {w()} dot org", 0), lambda: (f"{w()} (at) {w()} (dot) net", 0), lambda: (f"{w()} at {w()}", None),
         lambda: (".".join(str(x) for x in rng.integers(1, 256, 4)), 1),
         lambda: (_card(rng, ""), 2), lambda: (_card(rng, " "), 2), lambda: (_card(rng, "-"), 2), lambda: (_card(rng, "."), 2),
         lambda: (f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", 3), lambda: (f"+{d(2)} {d(3)} {d(3)} {d(4)}", 3), lambda: (f"({d(3)}) {d(3)}-{d(4)}", 3), lambda: (f"{d(3)}-{d(3)}-{d(4)}", 3), lambda: (f"{d(3)}.{d(3)}.{d(4)}", 3),
@@ -255,7 +256,8 @@ def fit(texts: list[str], *, seed: int = 5, examples: int = 1800, epochs: int =
         at = int(rng.integers(0, max(1, len(t) - WINDOW)))
         left, right, (form, kind) = t[at : at + 40], t[at + 40 : at + 80], planted(rng)
         left += "" if left.endswith((" ", "\n")) else " "
-        end = "".join(rng.choice(["", ".", ",", "###", "&&&", ")"], 1))
+        left += str(rng.choice(["", "", "", "<", "|", "\t"]))
+        end = "".join(rng.choice(["", ".", ",", "###", "&&&", ")", "\r\n", "\t", "|", ">"], 1))
         piece = (left + form + end + " " + right)[:WINDOW]
         here = [(len(left), kind, min(WINDOW, len(left) + len(form)))] if kind is not None else []
         made.append((piece, sorted(here + [x for x in base_spans(piece) if not here or x[2] <= here[0][0] or x[0] >= here[0][2]])))
@@ -282,7 +284,7 @@ def merged(base, found, text: str):
     for s, k, e in found:
         least = (6, 7, 12, 7)[k]
         digits = _NOT_DIGIT.sub("", text[s:e])
-        whole = not (text[s - 1 : s] + text[e : e + 1]).strip("()[].,;:!?\"' \n") if s else not text[e : e + 1].isalnum()
+        whole = not (text[max(s, 1) - 1 : s].isalnum() or text[e : e + 1].isalnum())
         if whole and e - s >= least and (k == 0 or len(digits) >= (0, 4, 12, 7)[k]) and (k != 2 or luhn(digits)) and not any(s < be and bs < e for bs, _, be in base):
             out.append((s, k, e))
     return sorted(out)

@@ -323,6 +323,17 @@ def test_crf_against_enumeration():
     assert tuple(pii.viterbi(E, np.array([4]), A)[:, 0]) == max(every, key=total)
 
 
+def test_pii_neighbours_and_triggers():
+    phone = "555-123-4567"
+    for c in "\r\t\u00a0<>|/=#*&{} \n(,":
+        assert pii.merged([], [(1, 3, 13)], c + phone + c) == [(1, 3, 13)], c
+        assert pii.merged([], [(0, 3, 12)], phone + c) == [(0, 3, 12)], c
+    assert pii.merged([], [(1, 3, 13)], "x" + phone) == [] and pii.merged([], [(0, 3, 12)], phone + "é") == []
+    for t in ("jane [ at ] x.com", "jane at x dot com", "jane{at}x.org", "jane <AT> x.org", "jane[at]x.org", "jane at x [dot] com"):
+        assert pii.windows_of(t) == [(0, len(t))], t
+    assert pii.windows_of("looked at it") == []
+
+
 def test_pii(spark, none):
     model = pii.fit([prose(80) for _ in range(20)], examples=500, epochs=3)
     texts = [None, "", "write to a.b@c.example.com or +1 (555) 123-4567 now", "10.0.0.255 and 10.0.0.256", "4111 1111 1111 1111", "4111 1111 1111 1112", "a@b.c_d@e.f", "é x@y.zz", "9" * 5000, "+" * 50, "x" * 100_000 + "@"]
