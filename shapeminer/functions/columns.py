@@ -100,10 +100,25 @@ def is_url(c: Column) -> Column:
     return c.rlike("^https?://")
 
 
+def _one_decimal(c: Column) -> Column:
+    """A double of at least 1 and under 10,000 in magnitude, as Python's '.1f': its exact value, ties to even."""
+    size = F.abs(c)
+    # both shifts are exact, and the products fit a long
+    bits = F.when(size < 1000, F.lit(52)).otherwise(F.lit(48))
+    n = F.when(size < 1000, (size * float(1 << 52)).cast("bigint")).otherwise((size * float(1 << 48)).cast("bigint"))
+    one = F.when(size < 1000, F.lit(1 << 52)).otherwise(F.lit(1 << 48))
+    tenths = n % one * 10
+    whole = F.call_function("shiftright", n, bits) * 10 + F.call_function("shiftright", tenths, bits)
+    rest = tenths % one * 2
+    whole = whole + F.when((rest > one) | ((rest == one) & (whole % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.when(c < 0, "-").otherwise(""), F.floor(whole / 10).cast("string"), F.lit("."), (whole % 10).cast("string"))
+
+
 def format_int(c: Column) -> Column:
+    """As text.format_int; beyond 2^53 the quotient is that of the nearest double."""
     out = c.cast("string")
     for power, suffix in enumerate("KMGTP", 1):
-        out = F.when(F.abs(c) >= F.lit(1000**power), F.concat(F.format_string("%.1f", c / F.lit(float(1000**power))), F.lit(suffix))).otherwise(out)
+        out = F.when(F.abs(c) >= F.lit(1000**power), F.concat(_one_decimal(c.cast("double") / F.lit(float(1000**power))), F.lit(suffix))).otherwise(out)
     return out
 
 

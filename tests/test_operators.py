@@ -1,3 +1,5 @@
+import random
+
 import hypothesis.strategies as st
 import pytest
 from hypothesis import given
@@ -85,6 +87,14 @@ def test_formats():
         text.format_value(object())
 
 
+def test_format_int_column(spark):
+    rng = random.Random(2)
+    sizes = [x * 1000**p // 100 for p in range(1, 6) for x in (125, 135, 145, 175, 4985, 24950, 24955, 99995, 99994)] + [rng.randrange(10 ** rng.randint(1, 15)) for _ in range(2000)] + [997 * k for k in range(1, 3000)] + [9_223 * 10**15]
+    sizes = [x for x in sizes if x < 2**53 or x % 10**15 == 0]
+    rows = spark.createDataFrame([(s * x,) for x in sizes for s in (1, -1)], "i long").select("i", C.format_int(F.col("i")).alias("si")).collect()
+    assert [(r.i, r.si) for r in rows] == [(r.i, text.format_int(r.i)) for r in rows]
+
+
 chars = st.frozensets(st.characters(min_codepoint=40, max_codepoint=120), max_size=12)
 
 
