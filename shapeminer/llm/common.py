@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import inspect
 import os
 import tempfile
 import uuid
@@ -40,9 +41,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none (tests)."""
+    """The folder all executors share; one of our own only where a local session names none (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="shapeminer-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -85,21 +88,92 @@ def release(*tables: DataFrame) -> None:
 BLOOM_BITS = 25
 
 
-def maybe_among(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """df with a boolean column _maybe: false where the row's id is surely not among `ids` (one column).
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as keep it apart from df's columns, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def maybe_among(df: DataFrame, ids: DataFrame, id_col: str, flag: str) -> DataFrame:
+    """df with one more column, the boolean `flag`: false where the row's id is surely not among `ids` (one column).
 
     The filter is a hashed bitmap of 2^BLOOM_BITS bits, broadcast as bitmaps of 4 KB, 4 MB at most whatever the
     input; it saves shuffling the other rows' texts. Larger sets of ids make it less selective, never wrong.
     """
+    bucket, bits = fresh(df, "bucket_of_ids", "bits_of_ids")
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BLOOM_BITS))
-    maps = ids.select(place(ids.columns[0]).alias("p")).select(F.bitmap_bucket_number("p").alias("_bucket"), F.bitmap_bit_position("p").alias("at"))
-    maps = F.broadcast(maps.groupBy("_bucket").agg(F.bitmap_construct_agg("at").alias("_bits")))
-    p = place(F.col(id_col).cast("long"))
-    at = F.bitmap_bit_position(p)
-    out = df.withColumns({"_bucket": F.bitmap_bucket_number(p), "_at": at}).join(maps, "_bucket", "left")
-    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 + 1 as int), 1)")), 16, 10).cast("int")
-    bit = byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0
-    return out.select(*df.columns, F.coalesce(bit, F.lit(False)).alias("_maybe"))
+    maps = ids.select(place(F.col(f"`{ids.columns[0]}`").cast("long")).alias("p")).select(F.bitmap_bucket_number("p").alias(bucket), F.bitmap_bit_position("p").alias("at"))
+    maps = F.broadcast(maps.groupBy(bucket).agg(F.bitmap_construct_agg("at").alias(bits)))
+    at = F.bitmap_bit_position(place(df[id_col].cast("long")))
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) != 0
+    out = df.withColumn(bucket, F.bitmap_bucket_number(place(df[id_col].cast("long")))).join(maps, bucket, "left")
+    return out.select(*(df[c] for c in df.columns), F.coalesce(bit, F.lit(False)).alias(flag))
+
+
+def _libc():
+    import ctypes
+
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def tidy() -> None:
+    """Gives what a Python worker has freed back to the system, so that reused workers do not add up."""
+    pa.default_memory_pool().release_unused()
+    _libc()(0)
+
+
+def tidied(run):
+    """A function of Arrow batches, or of groups, that leaves its worker tidy."""
+    if inspect.isgeneratorfunction(run):
+
+        def wrapped(batches):
+            try:
+                yield from run(batches)
+            finally:
+                tidy()
+
+        return wrapped
+
+    # Spark tells functions of a table from those of a key and a table by their parameters
+    if len(inspect.signature(run).parameters) == 1:
+        return lambda t: _then_tidy(run, t)
+    return lambda a, b: _then_tidy(run, a, b)
+
+
+def _then_tidy(run, *args):
+    try:
+        return run(*args)
+    finally:
+        tidy()
+
+
+#: A key is hot from one in HOT of a join's rows on; so fewer than HOT keys are, and their list may be broadcast.
+HOT = 200
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, by: str, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """left with the columns of right's one row for its `key`; rows without one go, unless `how` is left.
+
+    A hot key's rows are dealt out by a hash of `by` to as many parts as it has HOTths of left, and right's row is
+    copied to each of them: at most 2 * HOT copies in all. counts: (key, n) of left, where they are known.
+    """
+    salt, parts, n = fresh(left.join(right, key), "salt_of_key", "parts_of_key", "rows_of_key")
+    counts = (left.groupBy(key).agg(F.count("*").alias(n)) if counts is None else counts.toDF(key, n)).where(F.col(n) >= HOT)
+    total = left.count()
+    hot = F.broadcast(counts.where(F.col(n) * HOT > total).select(key, F.ceil(F.col(n) * HOT / max(total, 1)).cast("int").alias(parts)))
+    deal = F.when(F.col(parts).isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col(parts)).cast("int"))
+    one = left.join(hot, key, "left").withColumn(salt, deal).drop(parts)
+    two = right.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))).drop(parts)
+    return one.join(two, [key, salt], how).drop(salt)
 
 
 def filter_rows(df: DataFrame, keep) -> DataFrame:
@@ -110,7 +184,7 @@ def filter_rows(df: DataFrame, keep) -> DataFrame:
             for b in blocks(batch, "text"):
                 yield b.filter(pa.array(keep(b)))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidied(run), df.schema)
 
 
 def crc_mod(col: str, mod: int) -> Column:
@@ -160,17 +234,22 @@ NOT_SPACE[[0x20, *range(9, 14)]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
-_POW = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int):
-    if len(_POW[0]) < n:
-        n = max(n, 2 * BLOCK_BYTES)
-        for k, p in enumerate((_P, pow(_P, -1, 1 << 64))):
-            step = np.full(n, p, np.uint64)
-            step[0] = 1
-            _POW[k] = np.cumprod(step)
-    return _POW
+#: Bytes whose word hashes are computed at once; tables of powers reach as far, and further only for longer words.
+STRETCH = 1 << 18
+_POW: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if n <= STRETCH + 1 and _POW:
+        return _POW
+    out = []
+    for p in (_P, pow(_P, -1, 1 << 64)):
+        step = np.full(max(n, STRETCH + 1), p, np.uint64)
+        step[0] = 1
+        out.append(np.cumprod(step))
+    if n <= STRETCH + 1:
+        _POW[:] = out
+    return out
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -199,13 +278,17 @@ def words(data: np.ndarray, offs: np.ndarray, kind: np.ndarray):
 
 
 def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans."""
-    if not len(s):
-        return np.zeros(0, np.uint64)
-    pw, inv = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * pw[: len(data)], out=total[1:])
-    return mix((total[e] - total[s]) * inv[s] + (e - s).astype(np.uint64) * _M2)
+    """64-bit hashes of byte spans, which lie in order; computed in stretches, so that the tables stay small."""
+    out, lo = np.empty(len(s), np.uint64), 0
+    while lo < len(s):
+        hi = max(lo + 1, int(np.searchsorted(e, s[lo] + STRETCH, "right")))
+        part, a, z = data[s[lo] : e[hi - 1]], s[lo:hi] - s[lo], e[lo:hi] - s[lo]
+        pw, inv = _powers(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * pw[: len(part)], out=total[1:])
+        out[lo:hi] = mix((total[z] - total[a]) * inv[a] + (z - a).astype(np.uint64) * _M2)
+        lo = hi
+    return out
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:

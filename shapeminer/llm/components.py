@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     before = _state(edges)
     for _ in range(most if before[0] else 0):
-        edges = written(_star(_star(edges, large=True), large=False), "edges")
+        older, edges = edges, written(_star(_star(edges, large=True), large=False), "edges")
+        release(older)
         after = _state(edges)
         if after == before:
             break

@@ -9,7 +9,8 @@ threshold are confirmed on the full shingle sets.
 
 A bucket is never expanded into all its pairs: its members are compared with a few pivots, confirmed links are
 merged into components, and only members that are then still in different components of a bucket are compared
-further, in blocks that return links alone.
+further, in blocks that return links alone: by signatures, then by sets where signatures are near. Joins to a hot
+bucket or pivot are salted.
 
 Null text, and text without words, has an empty set: linked with nothing, a component of its own. Repeated rows
 and ties are fine; component ids are smallest doc_ids. A null doc_id takes part under no id and gets none.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, blocks, gram_hashes, maybe_among, mix, span_hashes, text_bytes, words, written
+from .common import LOWER, NOT_SPACE, blocks, fresh, gram_hashes, maybe_among, mix, release, salted_join, span_hashes, text_bytes, tidied, words, written
 from .components import components
 
 SYMBOLS, CHUNK = 40, 4
@@ -77,7 +78,7 @@ def signatures(docs: DataFrame, n: int, *, id_col="doc_id", text_col="text") ->
                         sig[k] = row.tobytes()
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(count), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], schema=_SIGS)
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(tidied(run), "doc_id long, n_shingles long, digest binary, sig binary")
 
 
 def _keys(classes: DataFrame) -> DataFrame:
@@ -97,13 +98,13 @@ def _keys(classes: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(mix(key).view(np.int64)), pa.array(np.full(len(rep), part, np.int32)), pa.array(rep)], names=["key", "part", "rep"])
                     part += 1
 
-    return classes.select("rep", "sig").mapInArrow(run, "key long, part int, rep long")
+    return classes.select("rep", "sig").mapInArrow(tidied(run), "key long, part int, rep long")
 
 
 def _near(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     """The pairs (x, y) whose signatures differ in MOST_ERRORS symbols at most and whose sizes allow the similarity."""
     side = lambda k: classes.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}"))
-    joined = pairs.join(side("x"), "x").join(side("y"), "y").where(F.expr(f"100 * least(nx, ny) >= {least} * greatest(nx, ny)"))
+    joined = salted_join(salted_join(pairs, side("x"), "x", "y"), side("y"), "y", "x").where(F.expr(f"100 * least(nx, ny) >= {least} * greatest(nx, ny)"))
 
     def run(batches):
         for b in batches:
@@ -111,7 +112,7 @@ def _near(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
             keep = pa.array((sx != sy).sum(1) <= MOST_ERRORS)
             yield pa.RecordBatch.from_arrays([b.column("x").filter(keep), b.column("y").filter(keep)], names=["x", "y"])
 
-    return joined.select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long")
+    return joined.select("x", "y", "sx", "sy").mapInArrow(tidied(run), "x long, y long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -124,14 +125,14 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                 at = pa.array(np.searchsorted(d, np.arange(b.num_rows + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(at, pa.array(g.view(np.int64)))], names=["id", "set"])
 
-    return maybe_among(docs, ids).where("_maybe").select("doc_id", "text").mapInArrow(run, "id long, set array<long>")
+    return maybe_among(docs, ids, "doc_id", "maybe").where("maybe").select("doc_id", "text").mapInArrow(tidied(run), "id long, set array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """The pairs whose full shingle sets have the similarity: 100 * intersection >= least * union."""
     one, two = sets.toDF("x", "sx"), sets.toDF("y", "sy")
     return (
-        pairs.join(one, "x").join(two, "y")
+        salted_join(salted_join(pairs, one, "x", "y"), two, "y", "x")
         .select("x", "y", (F.size("sx") + F.size("sy")).alias("both"), F.size(F.array_intersect("sx", "sy")).alias("inter"))
         .where(f"100L * inter >= {least}L * (both - inter)").select(F.col("x").alias("a"), F.col("y").alias("b"))
     )
@@ -140,12 +141,22 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
 def _links_between(table: pa.Table, least: int) -> pa.Table:
     """Of one block pair: a link from each row of side 0 to each other component of side 1, if there is one.
 
-    Sizes of intersections come from products of incidence matrices, COLUMNS shingles at a time.
+    Only rows whose signatures are near are compared by their sets. Sizes of intersections come from products of
+    incidence matrices, COLUMNS shingles at a time.
     """
     side = np.asarray(table["side"])
     rows = [np.flatnonzero(side == k) for k in (0, 1)]
+    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u2").reshape(-1, SYMBOLS)
+    near = np.zeros((len(rows[0]), len(rows[1])), np.uint8)
+    for k in range(SYMBOLS):
+        near += sig[rows[0], k][:, None] != sig[rows[1], k][None, :]
+    near = near <= MOST_ERRORS
+    table, side = table.take(pa.array(np.sort(np.concatenate([r[near.any(1 - k)] for k, r in enumerate(rows)])))), None
+    near = near[near.any(1)][:, near.any(0)]
+    side = np.asarray(table["side"])
+    rows = [np.flatnonzero(side == k) for k in (0, 1)]
     out_x, out_y = [], []
-    if len(rows[0]) and len(rows[1]):
+    if near.size:
         rep, comp = np.asarray(table["rep"]), np.asarray(table["c"])
         flat = table["set"].combine_chunks()
         at, values = np.asarray(flat.offsets), np.asarray(flat.values)
@@ -166,7 +177,7 @@ def _links_between(table: pa.Table, least: int) -> pa.Table:
                 m[k][place[owner[part][own]], column[part][own] - lo] = 1
             both += m[0] @ m[1].T
         union = size[rows[0]][:, None] + size[rows[1]][None, :] - both
-        linked = (100.0 * both >= least * union) & (comp[rows[0]][:, None] != comp[rows[1]][None, :])
+        linked = near & (100.0 * both >= least * union) & (comp[rows[0]][:, None] != comp[rows[1]][None, :])
         for k, j in enumerate(rows[0]):
             hits = rows[1][linked[k]]
             _, first = np.unique(comp[hits], return_index=True)
@@ -187,17 +198,19 @@ def _rest(members: DataFrame, found: DataFrame, docs: DataFrame, classes: DataFr
     open_ = written(own.join(split, "key"), "open")
     top = open_.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", (-F.col("c")).alias("c"))).alias("t")).select("key", (-F.col("t.c")).alias("top"))
     led = written(open_.join(top, "key").groupBy("top", "rep", "c").agg(F.lit(1).alias("one")).drop("one"), "led")
-    led = led.join(classes.select("rep", "n"), "rep")
+    led = led.join(classes.select("rep", "n", "sig"), "rep")
     stray = F.when(F.col("c") != F.col("top"), F.col("n")).otherwise(0)
     blocks_of = led.groupBy("top").agg(*(F.ceil(F.sum(v) / BLOCK_SHINGLES).cast("int").alias(k) for k, v in (("sb", stray), ("mb", F.col("n")))))
     led = led.join(blocks_of, "top")
     block = lambda k: F.pmod(F.xxhash64("rep"), F.col(k)).cast("int")
     spread = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    one = led.where("c != top").select("top", "rep", "c", F.lit(0).alias("side"), block("sb").alias("s"), "mb").select("top", "rep", "c", "side", "s", spread("mb").alias("m"))
-    two = led.where("sb > 0").select("top", "rep", "c", F.lit(1).alias("side"), block("mb").alias("m"), "sb").select("top", "rep", "c", "side", spread("sb").alias("s"), "m")
+    one = led.where("c != top").select("top", "rep", "sig", "c", F.lit(0).alias("side"), block("sb").alias("s"), "mb").select("top", "rep", "sig", "c", "side", "s", spread("mb").alias("m"))
+    two = led.where("sb > 0").select("top", "rep", "sig", "c", F.lit(1).alias("side"), block("mb").alias("m"), "sb").select("top", "rep", "sig", "c", "side", spread("sb").alias("s"), "m")
     sets = written(_sets(docs, led.select(F.col("rep").alias("doc_id")).distinct(), n), "sets")
-    rows = one.unionByName(two).join(sets, F.col("rep") == sets["id"]).select("top", "s", "m", "side", "rep", "c", "set")
-    return rows.groupBy("top", "s", "m").applyInArrow(lambda t: _links_between(t, least), "a long, b long")
+    rows = one.unionByName(two).join(sets, F.col("rep") == sets["id"]).select("top", "s", "m", "side", "rep", "sig", "c", "set")
+    out = written(rows.groupBy("top", "s", "m").applyInArrow(tidied(lambda t: _links_between(t, least)), "a long, b long"), "rest")
+    release(open_, sets)
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 4, least: int = 80, id_col="doc_id", text_col="text", pivots: int = 3) -> DataFrame:
@@ -209,22 +222,27 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, least: int = 80, id_co
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     sigs = written(signatures(docs, shingle), "sigs")
     known = sigs.where("n_shingles > 0 and doc_id is not null")
-    classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
+    classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("rows")), "classes")
     keys = _keys(classes)
     # which members are pivots depends on the chunk, so that one unlucky pivot does not leave a group apart
     rank = F.struct(F.xxhash64("rep", F.pmod(F.col("part"), F.lit(pivots))).alias("r"), F.col("rep").alias("pivot"))
     shared = keys.groupBy("key").agg(F.min(rank).alias("p"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("size")).where("lo != hi")
-    members = written(keys.join(shared.select("key", "p.pivot", "size"), "key").select("key", "rep", "pivot", "size"), "members")
+    shared = written(shared.select("key", "p.pivot", "size"), "shared")
+    members = written(salted_join(keys, shared, "key", "rep", shared.select("key", "size")).select("key", "rep", "pivot", "size"), "members")
     pairs = members.where("rep != pivot").select(F.greatest("rep", "pivot").alias("x"), F.least("rep", "pivot").alias("y")).distinct()
-    pairs = written(_near(pairs, classes, least), "pairs")
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    links = written(_confirmed(pairs, written(_sets(docs, ids, shingle), "sets"), least), "links")
+    pairs = written(pairs, "pairs")
+    near = written(_near(pairs, classes, least), "near")
+    ids = near.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+    sets = written(_sets(docs, ids, shingle), "sets")
+    links = written(_confirmed(near, sets, least), "links")
+    release(shared, pairs, near, sets)
     found = written(components(links), "found")
-    rest = written(_rest(members, found, docs, classes, shingle, least), "rest")
+    rest = _rest(members, found, docs, classes, shingle, least)
     if not rest.isEmpty():
         found = written(components(links.unionByName(rest)), "found")
-    of = written(classes.join(found, classes.rep == found.node, "left").select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("c")), "classes")
-    out = sigs.join(of, sigs.digest == of.d, "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
+    of = written(classes.join(found, classes.rep == found.node, "left").select("digest", "rows", F.coalesce("component", "rep").alias("c")), "of")
+    release(members, links, rest, classes)
+    out = salted_join(sigs, of.select("digest", "c"), "digest", "doc_id", of.select("digest", "rows"), "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
@@ -234,13 +252,16 @@ def deduplicated(docs: DataFrame, *, shingle: int = 5, least: int = 80) -> DataF
     Rows are told apart by a number that is written with them, so null and repeated doc_ids are fine.
     """
     columns = docs.columns
-    docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    near = written(near_duplicates(docs, shingle=shingle, least=least, id_col="_row").where("not kept").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), "near")
-    grouped = near.unionByName(near.select(F.col("_group").alias("_row"), "_group").distinct())
-    grouped = written(docs.select("_row", "doc_id").join(grouped, "_row").select("_row", "_group", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("rank")), "grouped")
-    first = grouped.groupBy("_group").agg(F.min("rank").alias("first"))
-    gone = written(grouped.join(first, "_group").where("_row != first._row").select(F.col("_row").alias("_gone")), "gone")
-    marked = maybe_among(docs, gone, "_row")
-    rest = marked.where("_maybe")
-    rest = rest.join(gone, rest["_row"] == gone["_gone"], "left_anti")
-    return marked.where("not _maybe").select(*columns).unionByName(rest.select(*columns))
+    row, maybe = fresh(docs, "row_number", "maybe_gone")
+    docs = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    near = near_duplicates(docs, shingle=shingle, least=least, id_col=row).where("not kept").select(F.col("doc_id").alias("r"), F.col("component_id").alias("g"))
+    near = written(near, "near")
+    grouped = near.unionByName(near.select(F.col("g").alias("r"), "g").distinct())
+    ranks = docs.select(F.col(row).alias("r"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row).alias("rank"))
+    grouped = written(ranks.join(grouped, "r").select("r", "g", "rank"), "grouped")
+    first = grouped.groupBy("g").agg(F.min("rank").alias("first"))
+    gone = written(salted_join(grouped, first, "g", "r").where(F.col("r") != F.col("first")[row]).select(F.col("r").alias(row)), "gone")
+    release(near, grouped)
+    marked = maybe_among(docs, gone, row, maybe)
+    rest = marked.where(F.col(maybe)).join(gone, row, "left_anti")
+    return marked.where(~F.col(maybe)).select(*columns).unionByName(rest.select(*columns))
