@@ -32,24 +32,25 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-_KINDS = [*((k, p, n) for k, p, n in secrets.BASE), ("live", secrets.MORE, 1)]
+_KINDS = [*((k, p, n) for k, p, n in secrets.BASE), ("live", secrets.MORE, 1), ("live", secrets.BEARER, 1)]
 _EACH = " UNION ALL ".join(
-    f"SELECT *, '{k}' AS kind, {r} AS rank, {n} AS least, string_split_regex(x, {_quoted(p)}) AS gaps, regexp_extract_all(x, {_quoted(p)}, 0) AS m, regexp_extract_all(x, {_quoted(p)}, 2) AS v FROM t WHERE regexp_matches(x, {_quoted(p)})"
+    f"SELECT *, '{k}' AS kind, {min(r, len(secrets.BASE))} AS rank, {n} AS least, string_split_regex(x, {_quoted(p)}) AS gaps, regexp_extract_all(x, {_quoted(p)}, 0) AS m, regexp_extract_all(x, {_quoted(p)}, 2) AS v FROM t WHERE regexp_matches(x, {_quoted(p)})"
     for r, (k, p, n) in enumerate(_KINDS)
 )
 
 SECRETS = f"""
-WITH t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS x, coalesce(source, '') AS owner FROM documents),
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS x, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repo FROM documents),
 k AS ({_EACH}),
-s AS (SELECT row, owner, kind, rank, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda g: length(g))), 0) AS INTEGER) AS start, length(m[i]) AS n, v[i] AS value, least
+s AS (SELECT row, owner, repo, kind, rank, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda g: length(g))), 0) AS INTEGER) AS start, length(m[i]) AS n, v[i] AS value, least
   FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM k)),
 c AS (SELECT * FROM s WHERE length(value) >= least),
-o AS (SELECT value, count(DISTINCT owner) AS owners FROM c GROUP BY 1),
-j AS (SELECT c.*, kind || ':' || start || ':' || (start + n) AS span, CASE WHEN owners > 2 THEN 'copied'
+o AS (SELECT value, count(DISTINCT owner) AS owners, CAST(count(DISTINCT (owner, repo)) AS BIGINT) AS repos FROM c GROUP BY 1),
+j AS (SELECT c.*, owners, repos, kind || ':' || start || ':' || (start + n) AS span, CASE WHEN owners > {secrets.MOST_OWNERS} OR repos > {secrets.MOST_REPOS} THEN 'copied'
   WHEN len(list_distinct(string_split(value, ''))) >= least(8, length(value) / 2) AND CAST(regexp_matches(value, '[0-9]') AS INT) + CAST(regexp_matches(value, '[a-z]') AS INT) + CAST(regexp_matches(value, '[A-Z]') AS INT) >= 2 THEN 'live' ELSE 'plain' END AS verdict
   FROM c JOIN o USING (value)),
 g AS (SELECT row, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
   string_agg(span, ',' ORDER BY start, rank, n) FILTER (WHERE rank < 3) AS base, string_agg(span, ',' ORDER BY start, rank, n) FILTER (WHERE rank < 3 OR verdict = 'live') AS spans,
+  string_agg(start || ':' || (start + n) || ':' || owners || ':' || repos || ':' || verdict, ',' ORDER BY start, rank, n) FILTER (WHERE rank < 3 OR verdict = 'live') AS ownership,
   count(*) FILTER (WHERE verdict = 'live') AS n_live, count(*) FILTER (WHERE verdict = 'copied' AND rank < 3) AS n_copied FROM j GROUP BY 1)
-SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(ownership, '') AS ownership, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
 FROM t LEFT JOIN g USING (row)"""

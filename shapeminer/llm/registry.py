@@ -50,7 +50,7 @@ def op6_pii(spark, sf_dir):
 def op7_media(spark, sf_dir):
     from .media import describe, store
 
-    return describe(store(table(spark, sf_dir, "documents"))).drop("codec", "duration", "keyframe_ranges")
+    return describe(store(table(spark, sf_dir, "documents")))
 
 
 def op8_html(spark, sf_dir):
@@ -60,9 +60,10 @@ def op8_html(spark, sf_dir):
 
 
 def op9_secrets(spark, sf_dir):
-    from .secrets import secret_spans
+    from .secrets import ownership_text, secret_spans
 
-    return secret_spans(table(spark, sf_dir, "documents")).drop("verdicts")
+    out = secret_spans(table(spark, sf_dir, "documents"))
+    return out.withColumn("ownership", ownership_text(out["verdicts"])).drop("verdicts")
 
 
 def pipeline(spark, sf_dir):
