@@ -3,10 +3,11 @@
 Examples have three demands: tokens, segments (one each) and loss-bearing tokens. Bins (training sequences)
 are filled one at a time; the next example is the one whose demand vector has the largest weighted dot
 product with what the bin has left (Panigrahy et al., 2011). Where nothing fits whole, an example is cut, as
-documents may be. Each task packs what it reads: no shuffle, and memory is one pool of examples.
+documents may be. Each task packs what it reads: no shuffle, and memory is one pool of examples' tails.
 
-Null text is an empty document (the end id alone). An empty table gives no pieces. Repeated rows are packed
-as often as they occur. Only the named columns are read, so further columns do not matter.
+All tokens of a document bear loss; of a conversation those of the answering roles do, so that all three demands
+differ. Null text is an empty document or turn (the end id alone). An empty table gives no pieces. Repeated rows are
+packed as often as they occur. Only the named columns are read, so further columns do not matter.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import tidied
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 _ARROW = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
@@ -31,32 +35,51 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class CachedTokenizer:
-    """The ids of the tokenizer in `path`, which encodes each pre-token by itself: distinct runs between spaces
-    are encoded once and kept (up to `most`). Texts beyond Latin letters and plain white space, and those with a
-    special token's string, go to the tokenizer whole."""
+    """The ids of the tokenizer in `path`. Where the file's pre-tokenizer treats text as `_split` does, each distinct
+    run between spaces is encoded once and kept, up to `most` bytes; whether it does is tried out, character by
+    character, when the file is loaded. Texts with other characters, or with an added token's string, go to the
+    tokenizer whole, and so do all texts if another rule holds."""
 
-    _plain = re.compile("[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f\u2013-\u2026]*").fullmatch
+    #: Latin letters, digits, punctuation and plain white space, whose runs are candidates for the cache.
+    _RANGES = ((0x09, 0x0A), (0x0D, 0x0D), (0x20, 0x7E), (0xA1, 0xB1), (0xB4, 0xB8), (0xBA, 0xBB), (0xBF, 0x12F), (0x131, 0x24F), (0x2013, 0x2026))
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 24 << 20):
         from tokenizers import Tokenizer
 
-        self.tok, self.most, self.cache = Tokenizer.from_file(path), most, {}
-        # the pre-tokens of this vocabulary file, for plain texts: fixed values
+        self.tok, self.most, self.used, self.cache = Tokenizer.from_file(path), most, 0, {}
         self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+").findall
+        added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or "(?!)").search
+        self.plain = re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(z))}" for a, z in self._RANGES) + "]*").fullmatch
+        if not self._agrees():
+            self.plain = lambda _: None
+
+    def _agrees(self) -> bool:
+        """Whether runs encoded by themselves give the tokenizer's ids, for every character in several places."""
+        for a, z in self._RANGES:
+            for c in map(chr, range(a, z + 1)):
+                for probe in (f"ab{c}cd E{c} {c}{c}x 1{c}2", f"{c} it's We'LL {c}a_b{c}"):
+                    if not self.added(probe) and self._cached(probe).tolist() != self.tok.encode(probe, add_special_tokens=False).ids:
+                        return False
+        return True
 
     def ids(self, text: str) -> np.ndarray:
-        if "<|" in text or not self._plain(text):
+        if self.added(text) or not self.plain(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
-        chunks = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split()
-        cache = self.cache
+        return self._cached(text)
+
+    def _cached(self, text: str) -> np.ndarray:
+        chunks, cache = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split(), self.cache
         try:
             found = [cache[x] for x in chunks]
         except KeyError:
-            if len(cache) > self.most:
+            if self.used > self.most:
                 cache.clear()
+                self.used = 0
             for x in chunks:
                 if x not in cache:
-                    cache[x] = self._encode(x)
+                    cache[x] = y = self._encode(x)
+                    self.used += len(x) + len(y) + 200  # with the objects' heads
             found = [cache[x] for x in chunks]
         return np.frombuffer(b"".join(found), "<u4")
 
@@ -87,41 +110,57 @@ class Limits:
 @dataclass
 class Item:
     key: object
+    #: What is left of the ids, and which number the first of them has among all of them.
     ids: np.ndarray
-    #: Loss-bearing tokens before each position; None: all bear loss.
+    #: Loss-bearing ids before each of them and in all; None: all bear loss.
     loss: np.ndarray | None = None
-    start: int = 0
+    first: int = 0
+    total: int = -1
 
-    def left(self) -> int:
-        return len(self.ids) - self.start
+    def __post_init__(self):
+        self.total = len(self.ids) if self.total < 0 else self.total
 
-    def loss_of(self, lo: int, hi: int) -> int:
-        return hi - lo if self.loss is None else int(self.loss[hi] - self.loss[lo])
+    def loss_of(self, n: int) -> int:
+        """Of the next n ids."""
+        return n if self.loss is None else int(self.loss[n] - self.loss[0])
 
     def fitting(self, tokens: int, loss: int) -> int:
         """The longest head within both limits."""
-        n = min(tokens, self.left())
+        n = min(tokens, len(self.ids))
         if self.loss is None:
             return min(n, loss)
-        return min(n, int(np.searchsorted(self.loss, self.loss[self.start] + loss, "right")) - 1 - self.start)
+        return min(n, int(np.searchsorted(self.loss, self.loss[0] + loss, "right")) - 1)
+
+    def take(self, n: int) -> Item:
+        """The next n ids, which go."""
+        head = Item(self.key, self.ids[:n], None if self.loss is None else self.loss[: n + 1], self.first, self.total)
+        self.ids, self.first = self.ids[n:], self.first + n
+        self.loss = None if self.loss is None else self.loss[n:]
+        return head
+
+    def kept(self) -> Item:
+        """Itself, without a hold on the ids that went."""
+        self.ids = self.ids.copy()
+        self.loss = None if self.loss is None else self.loss.copy()
+        return self
 
 
 @dataclass
 class Packer:
-    """Packs a stream of items through a pool of at most `pool` of them; yields bins of (item, start, end)."""
+    """Packs a stream of items through a pool of at most `pool` of them; yields bins, lists of items."""
 
     limits: Limits = field(default_factory=Limits)
     pool: int = 2048
 
     def pack(self, items):
         waiting: list[Item] = []
+        full = min(self.limits.tokens, self.limits.loss)
         for x in items:
-            cap = min(self.limits.tokens, self.limits.loss if x.loss is None else self.limits.tokens)
-            while x.left() >= self.limits.tokens and (n := x.fitting(self.limits.tokens, self.limits.loss)) == cap:
-                yield [(x, x.start, x.start + n)]
-                x.start += n
-            if x.left():
-                waiting.append(x)
+            # a piece that fills a bin by itself
+            while (n := x.fitting(self.limits.tokens, self.limits.loss)) and (n == self.limits.tokens or x.loss is None and n == full):
+                yield [x.take(n)]
+            if len(x.ids):
+                waiting.append(x.kept())
             if len(waiting) >= self.pool:
                 waiting = yield from self._fill(waiting, self.pool // 2)
         yield from self._fill(waiting, 0)
@@ -129,8 +168,7 @@ class Packer:
     def _fill(self, waiting: list[Item], keep: int):
         """Fills bins until at most `keep` items are left, which it returns."""
         cap = np.array([self.limits.tokens, self.limits.segments, self.limits.loss], np.float64)
-        tokens = np.array([x.left() for x in waiting], np.float64)
-        need = np.stack([tokens, np.ones(len(waiting)), [x.loss_of(x.start, len(x.ids)) for x in waiting]], 1).reshape(-1, 3)
+        need = np.array([(len(x.ids), 1, x.loss_of(len(x.ids))) for x in waiting], np.float64).reshape(-1, 3)
         weight = (need / cap).mean(0) / cap**2 if len(need) else cap
         alive = np.ones(len(waiting), bool)
         count = len(waiting)
@@ -141,19 +179,17 @@ class Packer:
                 value = np.where(fits, need @ (weight * left), -1.0)
                 k = int(value.argmax())
                 if value[k] >= 0:
-                    x = waiting[k]
-                    parts.append((x, x.start, len(x.ids)))
+                    parts.append(waiting[k].take(len(waiting[k].ids)))
                     left -= need[k]
-                    x.start, alive[k], count = len(x.ids), False, count - 1
+                    alive[k], count = False, count - 1
                     continue
                 # nothing fits whole: the head of the longest item that may give one fills the rest
                 for k in np.argsort(-np.where(alive, need[:, 0], -1), kind="stable")[:8]:
                     x = waiting[k]
                     if alive[k] and (n := x.fitting(int(left[0]), int(left[2]))) > 0:
-                        parts.append((x, x.start, x.start + n))
-                        left -= (n, 1, x.loss_of(x.start, x.start + n))
-                        x.start += n
-                        need[k] = x.left(), 1, x.loss_of(x.start, len(x.ids))
+                        parts.append(x.take(n))
+                        left -= (n, 1, parts[-1].loss_of(n))
+                        need[k] = len(x.ids), 1, x.loss_of(len(x.ids))
                         break
                 else:
                     break
@@ -161,9 +197,9 @@ class Packer:
         return [x for x, a in zip(waiting, alive) if a]
 
 
-def power_of_two_parts(parts: list, full: int):
+def power_of_two_parts(parts: list[Item], full: int):
     """A bin that is not full, as sequences whose lengths are powers of two, which need no padding."""
-    total = sum(e - s for _, s, e in parts)
+    total = sum(len(x.ids) for x in parts)
     if total >= full or not total:
         yield parts
         return
@@ -171,16 +207,34 @@ def power_of_two_parts(parts: list, full: int):
     for bit in reversed(range(total.bit_length())):
         room, out = total & (1 << bit), []
         while room:
-            x, s, e = parts[at]
-            n = min(room, e - s)
-            out.append((x, s, s + n))
+            n = min(room, len(parts[at].ids))
+            out.append(parts[at].take(n))
             room -= n
-            parts[at] = (x, s + n, e)
-            at += s + n == e
+            at += not len(parts[at].ids)
         if out:
             yield out
 
 
+def _packed(items, limits: Limits):
+    """Arrow batches of the pieces' rows."""
+    from pyspark import TaskContext
+
+    rows, seq = [], TaskContext.get().partitionId() << 40
+    for whole in Packer(limits).pack(items):
+        for part in power_of_two_parts(whole, limits.tokens):
+            at = 0
+            for x in part:
+                n = len(x.ids)
+                rows.append((x.key, x.first, n, zlib.crc32(np.ascontiguousarray(x.ids, "<u4")), x.total, seq, at, x.loss_of(n)))
+                at += n
+            seq += 1
+        if len(rows) > 20_000:
+            yield _batch(rows)
+            rows = []
+    if rows:
+        yield _batch(rows)
+
+
 def pack_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", end_id: int = 1, limits: Limits | None = None, tokenizer_path: str | None = None) -> DataFrame:
     """One row per piece: which ids of which document stand where in which sequence.
 
@@ -191,41 +245,47 @@ def pack_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", end_id:
     path, limits = tokenizer_path or vocabulary_path(), limits or Limits()
 
     def run(batches):
-        from pyspark import TaskContext
-
-        tok, seq = _tokenizer(path), TaskContext.get().partitionId() << 40
+        tok = CachedTokenizer(path)
 
         def items():
             for b in batches:
                 for key, text in zip(b.column(0).to_pylist(), b.column(1)):
-                    ids = tok.ids(text.as_py() or "")
-                    yield Item(key, np.append(ids, np.uint32(end_id)))
-
-        rows = []
-        for whole in Packer(limits).pack(items()):
-            for part in power_of_two_parts(whole, limits.tokens):
-                at = 0
-                for x, s, e in part:
-                    rows.append((x.key, s, e - s, zlib.crc32(np.ascontiguousarray(x.ids[s:e], "<u4")), len(x.ids), seq, at, x.loss_of(s, e)))
-                    at += e - s
-                seq += 1
-            if len(rows) > 20_000:
-                yield _batch(rows)
-                rows = []
-        if rows:
-            yield _batch(rows)
+                    yield Item(key, np.append(tok.ids(text.as_py() or ""), np.uint32(end_id)))
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, SCHEMA)
+        yield from _packed(items(), limits)
 
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(tidied(run), SCHEMA)
 
-def _batch(rows):
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_ARROW)
 
+#: Turns of one conversation that make one example at most; longer ones are several examples.
+TURNS = 256
 
-_TOKENIZERS: dict[str, CachedTokenizer] = {}
 
+def pack_conversations(turns: DataFrame, *, id_col="conv_id", turn_col="turn", role_col="role", text_col="text", answers: tuple[str, ...] = ("assistant",), end_id: int = 1, limits: Limits | None = None, tokenizer_path: str | None = None) -> DataFrame:
+    """Instruction data: a conversation's turns, in order, make one example, each turn followed by `end_id`; only the
+    ids of turns in the roles `answers` bear loss. One row per piece, as of pack_documents, with the conversation's id
+    as doc_id. Turns with equal numbers are ordered by role and text; a null id or turn is a value of its own.
+    """
+    path, limits = tokenizer_path or vocabulary_path(), limits or Limits(segments=64, loss=1024)
+
+    def run(batches):
+        tok = CachedTokenizer(path)
+
+        def items():
+            for b in batches:
+                for key, own in zip(b.column(0).to_pylist(), b.column(1)):
+                    parts, loss = [], []
+                    for t in own.as_py():
+                        parts.append(np.append(tok.ids(t["text"] or ""), np.uint32(end_id)))
+                        loss.append(np.full(len(parts[-1]), t["role"] in answers))
+                    yield Item(key, np.concatenate(parts), np.r_[0, np.cumsum(np.concatenate(loss))])
 
-def _tokenizer(path: str) -> CachedTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = CachedTokenizer(path)
-    return _TOKENIZERS[path]
+        yield from _packed(items(), limits)
+
+    one = turns.select(turns[id_col].cast("long").alias("doc_id"), turns[turn_col].cast("long").alias("turn"), turns[role_col].alias("role"), turns[text_col].alias("text"))
+    own = one.groupBy("doc_id", F.floor(F.col("turn") / TURNS).alias("part")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("own"))
+    return own.select("doc_id", "own").mapInArrow(tidied(run), SCHEMA)
+
+
+def _batch(rows):
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_ARROW)
