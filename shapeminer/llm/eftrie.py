@@ -1,44 +1,87 @@
-"""Elias-Fano coded n-gram tries with quantised log probabilities.
+"""Elias-Fano coded n-gram tries with quantised log probabilities, in one block of bytes that is read in place.
 
-A level holds, for each node in order, parent rank * universe + word: a monotone sequence, as are the pointers to
-each parent's first child. Both are Elias-Fano coded: low bits packed, high bits as the starts of their buckets.
-A query goes down the levels; in each it searches the successor of its word among its context's children only.
-Levels can be written to a folder and opened again memory-mapped.
+A level holds its nodes' words in order, context by context. To make the level one monotone sequence, the words of a
+context are counted from the value at which the context before it ends. So are the pointers to each node's first
+child, which are monotone by themselves. Both are Elias-Fano coded: low bits packed, high bits in unary, with counts of
+ones by block to select in. A query goes down the levels; in each it looks, among the children of its context only, for
+the successor of its word counted from where the context before ends.
+
+`to_bytes` gives the whole trie as one block; `view` reads such a block where it lies, and `open` maps a file of it.
 """
 
 from __future__ import annotations
 
 import json
-import os
 
 import numpy as np
 
+_WORDS = 8  # of 64 bits, in a block of a bit vector
+
+
+class Bits:
+    """A bit vector with the number of ones before each block."""
+
+    def __init__(self, words: np.ndarray, ones: np.ndarray):
+        self.words, self.ones = words, ones
+
+    @classmethod
+    def of(cls, places: np.ndarray, size: int) -> Bits:
+        """`size` bits, of which those at the places are one; the places ascend."""
+        words = np.zeros((size // (64 * _WORDS) + 1) * _WORDS, np.uint64)
+        if len(places):
+            word = places >> 6
+            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            words[word[first]] = np.bitwise_or.reduceat(np.uint64(1) << (places & 63).astype(np.uint64), first)
+        per = np.bitwise_count(words).astype(np.int64).reshape(-1, _WORDS).sum(1)
+        return cls(words, (np.cumsum(per) - per).astype(np.uint32))
+
+    def select(self, k: np.ndarray, one: bool = True) -> np.ndarray:
+        """Places of the ones, or zeros, with these numbers, from 0 on."""
+        before = self.ones.astype(np.int64) if one else np.arange(len(self.ones)) * (64 * _WORDS) - self.ones
+        block = np.searchsorted(before, k, "right") - 1
+        left = k - before[block]
+        words = self.words.reshape(-1, _WORDS)[block]
+        words = words if one else ~words
+        upto = np.cumsum(np.bitwise_count(words), 1, dtype=np.int64)
+        at = np.minimum((upto <= left[:, None]).sum(1), _WORDS - 1)
+        row = np.arange(len(k))
+        left = (left - np.where(at > 0, upto[row, at - 1], 0)).astype(np.int64)
+        word, place = words[row, at], (block * _WORDS + at) * 64
+        for width in (32, 16, 8, 4, 2, 1):
+            low = np.bitwise_count(word & np.uint64((1 << width) - 1)).astype(np.int64)
+            up = left >= low
+            left = left - np.where(up, low, 0)
+            word = np.where(up, word >> np.uint64(width), word)
+            place = place + np.where(up, width, 0)
+        return place
+
 
 class EliasFano:
     """A monotone sequence of integers below 2^63."""
 
-    def __init__(self, low: np.ndarray, start: np.ndarray, bits: int, n: int):
-        self.low, self.start, self.bits, self.n = low, start, bits, n
+    def __init__(self, low: np.ndarray, high: Bits, bits: int, n: int, buckets: int):
+        self.low, self.high, self.bits, self.n, self.buckets = low, high, bits, n, buckets
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
         values = np.asarray(values, np.int64)
         n = len(values)
         if not n:
-            return cls(np.zeros(1, np.uint64), np.zeros(2, np.int64), 0, 0)
+            return cls(np.zeros(1, np.uint64), Bits.of(values, 0), 0, 0, 0)
         bits = max(0, int(values[-1] // n).bit_length() - 1)
         words = np.zeros(n * bits // 64 + 2, np.uint64)
         if bits:
             low = (values & ((1 << bits) - 1)).astype(np.uint64)
             at = np.arange(n, dtype=np.int64) * bits
             word, shift = at >> 6, (at & 63).astype(np.uint64)
-            # values with one word number lie together, so their parts can be summed by segment
+            # values with one word number lie together, so their parts can be joined by segment
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            words[word[first]] |= np.add.reduceat(low << shift, first)
+            words[word[first]] |= np.bitwise_or.reduceat(low << shift, first)
             over = np.flatnonzero((at & 63) + bits > 64)  # at most one value crosses each border
             words[word[over] + 1] |= low[over] >> (np.uint64(64) - shift[over])
         high = values >> bits
-        return cls(words, np.searchsorted(high, np.arange(int(high[-1]) + 2)), bits, n)
+        buckets = int(high[-1]) + 1
+        return cls(words, Bits.of(high + np.arange(n), n + buckets), bits, n, buckets)
 
     def _low(self, k: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -52,66 +95,76 @@ class EliasFano:
 
     def access(self, k: np.ndarray) -> np.ndarray:
         k = np.asarray(k, np.int64)
-        return (np.searchsorted(self.start, k, "right") - 1 << self.bits) | self._low(k)
+        return (self.high.select(k) - k << self.bits) | self._low(k)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """The place of the first value >= x, or n."""
+    def successor(self, x: np.ndarray, lo=0, hi=None) -> np.ndarray:
+        """The place of the first value >= x in [lo, hi), or hi."""
         x = np.asarray(x, np.int64)
+        lo, hi = np.broadcast_to(lo, x.shape), np.broadcast_to(self.n if hi is None else hi, x.shape)
         if not self.n:
-            return np.zeros(len(x), np.int64)
-        high = np.minimum(x >> self.bits, len(self.start) - 2)
-        beyond = x >> self.bits > len(self.start) - 2
-        lo, hi, low = self.start[high], self.start[high + 1], x & ((1 << self.bits) - 1)
-        while True:  # binary search within the bucket
-            open_ = np.flatnonzero(lo < hi)
+            return hi.copy()
+        bucket = np.minimum(x >> self.bits, self.buckets - 1)
+        beyond = x >> self.bits > bucket
+        end = np.where(beyond, self.n, self.high.select(bucket, one=False) - bucket)
+        start = np.where(beyond, self.n, np.where(bucket > 0, self.high.select(np.maximum(bucket - 1, 0), one=False) - bucket + 1, 0))
+        a, z, low = np.clip(start, lo, hi), np.clip(end, lo, hi), x & ((1 << self.bits) - 1)
+        while True:  # binary search within the bucket's part of the range
+            open_ = np.flatnonzero(a < z)
             if not len(open_):
-                break
-            mid = (lo[open_] + hi[open_]) >> 1
+                return a
+            mid = (a[open_] + z[open_]) >> 1
             less = self._low(mid) < low[open_]
-            lo[open_[less]] = mid[less] + 1
-            hi[open_[~less]] = mid[~less]
-        return np.where(beyond, self.n, lo)
+            a[open_[less]] = mid[less] + 1
+            z[open_[~less]] = mid[~less]
+
+    def arrays(self) -> list[np.ndarray]:
+        return [self.low, self.high.words, self.high.ones]
+
+    @property
+    def nbytes(self) -> int:
+        return sum(a.nbytes for a in self.arrays())
 
 
 class NgramTrie:
-    def __init__(self, levels: list[EliasFano], pointers: list[EliasFano], codes: np.ndarray, book: np.ndarray, universe: int):
-        self.levels, self.pointers, self.codes, self.book, self.universe = levels, pointers, codes, book, universe
+    def __init__(self, levels: list[EliasFano], pointers: list[EliasFano], codes: np.ndarray, book: np.ndarray):
+        self.levels, self.pointers, self.codes, self.book = levels, pointers, codes, book
 
     @classmethod
-    def build(cls, grams: np.ndarray, log_prob: np.ndarray, universe: int, bins: int = 256) -> NgramTrie:
+    def build(cls, grams: np.ndarray, log_prob: np.ndarray, bins: int = 256) -> NgramTrie:
         """grams: distinct rows of word ids in lexicographic order."""
         levels, pointers = [], []
         n, order = grams.shape
-        rank = np.zeros(n, np.int64)
-        new = np.zeros(n, bool)
+        rank, parents, new = np.zeros(n, np.int64), 1, np.zeros(n, bool)
         for k in range(order):
             new = new | np.r_[True, grams[1:, k] != grams[:-1, k]][:n]
             at = np.flatnonzero(new)
-            levels.append(EliasFano.of(rank[at] * universe + grams[at, k]))
+            first = np.searchsorted(rank[at], np.arange(parents + 1))
+            words = grams[at, k]
+            # where each context's words end, counted from where those of the one before end
+            ends = np.cumsum(words[first[1:] - 1]) if n else np.zeros(parents, np.int64)
+            levels.append(EliasFano.of(words + np.r_[0, ends[:-1]][rank[at]]))
             if k:
-                pointers.append(EliasFano.of(np.searchsorted(rank[at], np.arange(parents + 1))))
-            rank = np.cumsum(new) - 1
-            parents = len(at)
+                pointers.append(EliasFano.of(first))
+            rank, parents = np.cumsum(new) - 1, len(at)
         # half of the bins follow the density, half bound the error everywhere
         inner = np.linspace(0, 1, bins // 2)[1:-1]
         edges = np.unique(np.r_[np.quantile(log_prob, inner), log_prob.min() + inner * np.ptp(log_prob)]) if n else np.zeros(0)
         codes = np.searchsorted(edges, log_prob, "right")
         size = np.bincount(codes, minlength=len(edges) + 1)
         book = np.bincount(codes, log_prob, minlength=len(edges) + 1) / np.maximum(size, 1)
-        return cls(levels, pointers, codes.astype(np.uint8), book, universe)
+        return cls(levels, pointers, codes.astype(np.uint8), book)
 
     def find(self, grams: np.ndarray) -> np.ndarray:
         """Places of the n-grams at the last level, or -1."""
-        rank = np.zeros(len(grams), np.int64)
-        ok = np.ones(len(grams), bool)
+        rank, ok = np.zeros(len(grams), np.int64), np.full(len(grams), bool(self.levels[0].n))
+        if not self.levels[0].n:
+            return np.full(len(grams), -1)
         for k, level in enumerate(self.levels):
-            x = rank * self.universe + grams[:, k]
-            place = level.successor(x)
-            lo, hi = (0, level.n) if not k else (self.pointers[k - 1].access(rank), self.pointers[k - 1].access(rank + 1))
-            ok &= (place >= lo) & (place < hi)
-            inside = np.where(ok, place, 0)
-            if level.n:
-                ok &= level.access(inside) == x
+            lo, hi = (np.zeros_like(rank), np.full_like(rank, level.n)) if not k else (self.pointers[k - 1].access(rank), self.pointers[k - 1].access(rank + 1))
+            x = grams[:, k] + np.where(lo > 0, level.access(np.maximum(lo - 1, 0)), 0)
+            place = level.successor(x, lo, hi)
+            inside = np.minimum(place, level.n - 1)
+            ok &= (place < hi) & (level.access(inside) == x)
             rank = np.where(ok, inside, 0)
         return np.where(ok, rank, -1)
 
@@ -120,23 +173,32 @@ class NgramTrie:
         at = self.find(grams)
         return np.where(at >= 0, self.book[self.codes[np.maximum(at, 0)]] if len(self.codes) else np.nan, np.nan)
 
-    def write(self, folder: str) -> None:
-        os.makedirs(folder, exist_ok=True)
-        about = {"universe": self.universe, "levels": [[x.bits, x.n] for x in self.levels], "pointers": [[x.bits, x.n] for x in self.pointers]}
-        for name, parts in (("level", self.levels), ("pointer", self.pointers)):
-            for k, x in enumerate(parts):
-                np.save(f"{folder}/{name}{k}.low.npy", x.low)
-                np.save(f"{folder}/{name}{k}.start.npy", x.start)
-        np.save(f"{folder}/codes.npy", self.codes)
-        np.save(f"{folder}/book.npy", self.book)
-        with open(f"{folder}/about.json", "w") as f:
-            json.dump(about, f)
+    def to_bytes(self) -> bytes:
+        parts = [a for x in (*self.levels, *self.pointers) for a in x.arrays()] + [self.codes, self.book]
+        about = {"levels": len(self.levels), "shapes": [[x.bits, x.n, x.buckets] for x in (*self.levels, *self.pointers)], "arrays": [[a.dtype.str, len(a)] for a in parts]}
+        head = json.dumps(about).encode()
+        head += b" " * (-len(head) % 8)
+        return b"".join((len(head).to_bytes(8, "little"), head, *(a.tobytes() + bytes(-a.nbytes % 8) for a in parts)))
 
     @classmethod
-    def open(cls, folder: str) -> NgramTrie:
+    def view(cls, block) -> NgramTrie:
+        """The trie in a block of bytes, which is read where it lies."""
+        size = int.from_bytes(block[:8], "little")
+        about, at, parts = json.loads(bytes(block[8 : 8 + size])), 8 + size, []
+        for kind, n in about["arrays"]:
+            parts.append(np.frombuffer(block, kind, n, at))
+            at += parts[-1].nbytes + -parts[-1].nbytes % 8
+        each = [EliasFano(parts[3 * k], Bits(parts[3 * k + 1], parts[3 * k + 2]), *x) for k, x in enumerate(about["shapes"])]
+        return cls(each[: about["levels"]], each[about["levels"] :], parts[-2], parts[-1])
+
+    def write(self, path: str) -> None:
+        with open(path, "wb") as f:
+            f.write(self.to_bytes())
+
+    @classmethod
+    def open(cls, path: str) -> NgramTrie:
         """Memory-mapped."""
-        with open(f"{folder}/about.json") as f:
-            about = json.load(f)
-        load = lambda name: np.load(f"{folder}/{name}.npy", mmap_mode="r")
-        part = lambda name: [EliasFano(load(f"{name}{k}.low"), load(f"{name}{k}.start"), *x) for k, x in enumerate(about[f"{name}s"])]
-        return cls(part("level"), part("pointer"), load("codes"), load("book"), about["universe"])
+        import mmap
+
+        with open(path, "rb") as f:
+            return cls.view(memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)))

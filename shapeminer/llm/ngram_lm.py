@@ -6,9 +6,11 @@ held out, and scores all.
 
 The corpus is read once, into blocks of numbered tokens. Two exchanges follow, each of a block's distinct items
 only: words go to word shards, which count and number them; bigrams go to bigram shards, which count them, build
-the trie and answer with each document's sum of log probabilities. A bigram's shard is its context's, unless the
+the trie and answer with the log probability of each of the block's bigrams; the block then adds them up over its
+documents. So a bigram that every document holds is one entry a block. A bigram's shard is its context's, unless the
 context is so frequent that it would fill a shard: those are spread by the whole bigram. No table of the
-vocabulary or the model is ever in one place; shards have a bounded size and grow in number with the input.
+vocabulary or the model is ever in one place; shards have a bounded size and grow in number with the input, and a
+block's items are sorted by shard once, whatever the number of shards.
 
 Null and empty texts have the end token alone. Repeated rows are counted and scored as often as they occur. An
 empty table gives no rows. If no document is learned from, every count is 0.
@@ -22,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, blocks, crc_of, mix, release, span_hashes, text_bytes, words, written
+from .common import LOWER, NOT_SPACE, blocks, crc_of, mix, release, span_hashes, text_bytes, tidied, words, written
 from .eftrie import NgramTrie
 
 HELD_MOD, HELD_OUT, MU = 5, 1, 16.0
@@ -31,16 +33,27 @@ END = np.uint64(0x454E442D454E4421)
 _BLOCK = "block long, docs array<long>, held binary, lens binary, words binary, counts binary, tokens binary, n_words long, n_tokens long"
 
 
-def _pack(a: np.ndarray) -> bytes:
-    """Bytes plane by plane, compressed."""
-    a = np.ascontiguousarray(a)
-    return zstandard.compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes(), 1)
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays byte plane by byte plane, compressed together."""
+    head = np.array([len(a) for a in arrays], "<u4").tobytes()
+    return zstandard.compress(head + b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays), 1)
 
 
-def _unpack(b: bytes, dtype) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(b), np.uint8)
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel()
+def _unpack(b: bytes, *dtypes) -> list[np.ndarray]:
+    raw, out = np.frombuffer(zstandard.decompress(b), np.uint8), []
+    at = 4 * len(dtypes)
+    for n, dtype in zip(raw[:at].view("<u4").tolist(), map(np.dtype, dtypes)):
+        out.append(np.ascontiguousarray(raw[at : at + n * dtype.itemsize].reshape(dtype.itemsize, n).T).view(dtype).ravel())
+        at += n * dtype.itemsize
+    return out
+
+
+def _by_shard(shard: np.ndarray):
+    """(order, [(shard, slice of the order)]) of the items' shards, from one sort."""
+    order = np.argsort(shard, kind="stable")
+    own = shard[order]
+    cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+    return order, [(int(own[lo]), slice(lo, hi)) for lo, hi in zip(cuts, [*cuts[1:], len(own)])]
 
 
 def _inverse(order: np.ndarray) -> np.ndarray:
@@ -65,7 +78,7 @@ def _tokenised(docs: DataFrame) -> DataFrame:
                 n = b.num_rows
                 lens = np.bincount(doc, minlength=n) + 1
                 tokens = np.full(len(s) + n, END, np.uint64)
-                tokens[np.arange(len(s)) + doc] = _hashes(LOWER[data], s, e)
+                tokens[np.arange(len(s)) + doc] = span_hashes(LOWER[data], s, e)
                 kinds, tokens = np.unique(tokens, return_inverse=True)
                 order = np.argsort(-np.bincount(tokens), kind="stable")  # small numbers for frequent words compress
                 kinds, tokens = kinds[order], _inverse(order)[tokens]
@@ -75,7 +88,7 @@ def _tokenised(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([{"block": block, "docs": ids, "held": held.tobytes(), "lens": lens.astype("<i4").tobytes(), "words": kinds.tobytes(), "counts": _pack(counts.astype("<u4")), "tokens": _pack(tokens.astype("<u4")), "n_words": len(kinds), "n_tokens": int(lens.sum())}], schema=_BLOCK_ARROW)
                 block += 1
 
-    return docs.mapInArrow(run, _BLOCK)
+    return docs.mapInArrow(tidied(run), _BLOCK)
 
 
 _BLOCK_ARROW = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("held", "lens", "words", "counts", "tokens")), ("n_words", pa.int64()), ("n_tokens", pa.int64())])
@@ -84,34 +97,23 @@ _BLOCK_ARROW = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.int64())),
 _WORDS_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())])
 
 
-def _hashes(data, s, e, most: int = 1 << 20):
-    """span_hashes in stretches, so that its tables stay small."""
-    out = np.empty(len(s), np.uint64)
-    lo = 0
-    while lo < len(s):
-        hi = max(lo + 1, int(np.searchsorted(e, s[lo] + most, "right")))
-        out[lo:hi] = span_hashes(data[s[lo] : e[hi - 1]], s[lo:hi] - s[lo], e[lo:hi] - s[lo])
-        lo = hi
-    return out
-
-
 def _word_counts(parts: DataFrame, shards: int) -> DataFrame:
     """Per block and word shard: the corpus's counts and numbers of the block's words; block -1 has the totals."""
 
     def send(batches):
         for b in batches:
             for r in b.to_pylist():
-                w, c = np.frombuffer(r["words"], np.uint64), _unpack(r["counts"], "<u4")
-                shard = (w % np.uint64(shards)).astype(np.int64)
-                for k in np.unique(shard):
-                    own = shard == k
-                    yield pa.RecordBatch.from_pydict({"shard": [int(k)], "block": [r["block"]], "words": [w[own].tobytes()], "counts": [_pack(c[own])]}, schema=_WORDS_ARROW)
+                w, (c,) = np.frombuffer(r["words"], np.uint64), _unpack(r["counts"], "<u4")
+                order, parts = _by_shard((w % np.uint64(shards)).astype(np.int64))
+                w, c = w[order], c[order]
+                for k, own in parts:
+                    yield pa.RecordBatch.from_pydict({"shard": [k], "block": [r["block"]], "words": [w[own].tobytes()], "counts": [_pack(c[own])]}, schema=_WORDS_ARROW)
 
     def count(key, t):
         rows = t.select(["block", "words", "counts"]).to_pylist()
         each = [np.frombuffer(r["words"], np.uint64) for r in rows]
         kinds, at = np.unique(np.concatenate(each), return_inverse=True)
-        total = np.bincount(at, np.concatenate([_unpack(r["counts"], "<u4") for r in rows]), minlength=len(kinds)).astype(np.int64)
+        total = np.bincount(at, np.concatenate([_unpack(r["counts"], "<u4")[0] for r in rows]), minlength=len(kinds)).astype(np.int64)
         at = _inverse(np.argsort(-total, kind="stable"))[at]
         total = -np.sort(-total)
         ends = np.cumsum([len(x) for x in each])
@@ -119,38 +121,38 @@ def _word_counts(parts: DataFrame, shards: int) -> DataFrame:
         k = key[0].as_py()
         return pa.table({
             "block": pa.array([*(r["block"] for r in rows), -1], pa.int64()), "shard": pa.array([k] * (len(rows) + 1), pa.int32()),
-            "counts": pa.array([*(_pack(total[p]) for p in parts), None], pa.binary()), "ids": pa.array([*(_pack(p * shards + k) for p in parts), None], pa.binary()),
+            "counts": pa.array([*(_pack(total[p], p * shards + k) for p in parts), None], pa.binary()),
             "n": pa.array([0] * len(rows) + [int(total.sum())], pa.int64()), "v": pa.array([0] * len(rows) + [int((total > 0).sum())], pa.int64()),
         })
 
-    sent = parts.select("block", "words", "counts").mapInArrow(send, "shard int, block long, words binary, counts binary")
-    return sent.groupBy("shard").applyInArrow(count, "block long, shard int, counts binary, ids binary, n long, v long")
+    sent = parts.select("block", "words", "counts").mapInArrow(tidied(send), "shard int, block long, words binary, counts binary")
+    return sent.groupBy("shard").applyInArrow(tidied(count), "block long, shard int, counts binary, n long, v long")
 
 
-_SENT = "shard int, block long, docs array<long>, held binary, lens binary, known binary, base binary, keys binary, counts binary, before binary, word binary, places binary, per binary"
+_SENT = "shard int, block long, docs array<long>, held binary, lens binary, known binary, base binary, slots binary, grams binary"
 _SENT_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("docs", pa.list_(pa.int64())), *((c.split()[0], pa.binary()) for c in _SENT.split(", ")[3:])])
 
 
 def _bigrams(parts: DataFrame, counts: DataFrame, n: int, v: int, word_shards: int, shards: int) -> DataFrame:
-    """Per block: one row (shard -1) with its documents' base figures, and its bigrams for each bigram shard."""
+    """Per block: one row (shard -1) with its documents' base figures and where each token's bigram stands among the
+    block's, and its distinct bigrams for each bigram shard, in that order."""
     room = n + 0.5 * (v + 1)
 
     def send(left, right):
         out = []
-        by = {r["shard"]: r for r in right.to_pylist()}
+        replies = [r["counts"] for r in sorted(right.to_pylist(), key=lambda r: r["shard"])]
         for r in left.to_pylist():
             w = np.frombuffer(r["words"], np.uint64)
-            shard = (w % np.uint64(word_shards)).astype(np.int64)
+            order, _ = _by_shard((w % np.uint64(word_shards)).astype(np.int64))
             c, ids = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
-            for k in np.unique(shard):
-                c[shard == k], ids[shard == k] = _unpack(by[k]["counts"], np.int64), _unpack(by[k]["ids"], np.int64)
-            tokens, lens = _unpack(r["tokens"], "<u4").astype(np.int64), np.frombuffer(r["lens"], "<i4").astype(np.int64)
+            if len(w):
+                c[order], ids[order] = (np.concatenate(x) for x in zip(*(_unpack(x, np.int64, np.int64) for x in replies)))
+            tokens, lens = _unpack(r["tokens"], "<u4")[0].astype(np.int64), np.frombuffer(r["lens"], "<i4").astype(np.int64)
             held = np.frombuffer(r["held"], bool)
             doc = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
             ct = c[tokens]
             base = np.bincount(doc, np.log10((ct + 0.5) / room), minlength=len(lens))
             known = np.bincount(doc[ct > 0], minlength=len(lens))
-            out.append({"shard": -1, "block": r["block"], "docs": r["docs"], "held": r["held"], "lens": r["lens"], "known": known.tobytes(), "base": base.tobytes()})
             # number 0 is the start of a text; its count is that of the ends
             first = np.cumsum(lens) - lens
             number = (ids + 1).astype(np.uint64)[tokens]
@@ -162,42 +164,40 @@ def _bigrams(parts: DataFrame, counts: DataFrame, n: int, v: int, word_shards: i
             del number, tokens
             keys, place, inverse = np.unique(keys, return_index=True, return_inverse=True)
             own = np.bincount(inverse[np.repeat(~held, lens)], minlength=len(keys))
-            order = np.argsort(inverse, kind="stable")
-            per, at = np.bincount(inverse, minlength=len(keys)), doc[order]
             bc, wc = before_c[place], ct[place]
             spread = bc > max(1, n // (4 * shards))
-            to = (mix(np.where(spread, keys, keys >> np.uint64(32))) % np.uint64(shards)).astype(np.int64)
-            owner = np.repeat(to, per)
-            for k in np.unique(to):
-                mine = to == k
-                out.append({"shard": int(k), "block": r["block"], "lens": np.array([len(lens)], "<i4").tobytes(), "keys": _pack(_delta(keys[mine])), "counts": _pack(own[mine].astype("<u4")), "before": _pack(bc[mine]), "word": _pack(wc[mine]), "places": _pack(at[owner == k].astype("<u4")), "per": _pack(per[mine].astype("<u4"))})
+            order, parts = _by_shard((mix(np.where(spread, keys, keys >> np.uint64(32))) % np.uint64(shards)).astype(np.int64))
+            slots = _pack(_inverse(order)[inverse].astype("<u4"))
+            out.append({"shard": -1, "block": r["block"], "docs": r["docs"], "held": r["held"], "lens": r["lens"], "known": known.tobytes(), "base": base.tobytes(), "slots": slots})
+            keys, own, bc, wc = keys[order], own[order].astype("<u4"), bc[order], wc[order]
+            for k, at in parts:
+                out.append({"shard": k, "block": r["block"], "grams": _pack(_delta(keys[at]), own[at], bc[at], wc[at])})
         return pa.Table.from_pylist(out, schema=_SENT_ARROW)
 
-    return parts.groupBy("block").cogroup(counts.where("block >= 0").groupBy("block")).applyInArrow(send, _SENT)
+    return parts.groupBy("block").cogroup(counts.where("block >= 0").groupBy("block")).applyInArrow(tidied(send), _SENT)
 
 
-def _answers(sent: DataFrame, room: float, universe: int) -> DataFrame:
-    """Per block and bigram shard: what the shard's bigrams add to each document's log10 probability."""
+def _answers(sent: DataFrame, room: float) -> DataFrame:
+    """Per block and bigram shard: the log10 probabilities of the bigrams that the block sent, in its order."""
 
     def answer(t):
-        rows = t.select(["block", "lens", "keys", "counts", "before", "word", "places", "per"]).to_pylist()
-        each = [np.cumsum(_unpack(r["keys"], np.uint64), dtype=np.uint64) for r in rows]
-        kinds, place, at = np.unique(np.concatenate(each), return_index=True, return_inverse=True)
-        c = np.bincount(at, np.concatenate([_unpack(r["counts"], "<u4") for r in rows]), minlength=len(kinds))
-        before = np.concatenate([_unpack(r["before"], np.int64) for r in rows])[place]
-        p = (np.concatenate([_unpack(r["word"], np.int64) for r in rows])[place] + 0.5) / room
+        rows = t.select(["block", "shard", "grams"]).to_pylist()
+        keys, counts, before, word = zip(*(_unpack(r["grams"], np.uint64, "<u4", np.int64, np.int64) for r in rows))
+        ends = np.cumsum([len(x) for x in keys])
+        kinds, place, at = np.unique(np.concatenate([np.cumsum(x, dtype=np.uint64) for x in keys]), return_index=True, return_inverse=True)
+        c = np.bincount(at, np.concatenate(counts), minlength=len(kinds))
+        before, p = np.concatenate(before)[place], (np.concatenate(word)[place] + 0.5) / room
         seen = c > 0
         grams = np.stack([(kinds >> np.uint64(32)).astype(np.int64), (kinds & np.uint64(0xFFFFFFFF)).astype(np.int64)], 1)
-        trie = NgramTrie.build(grams[seen], np.log10((c + MU * p) / (before + MU))[seen], universe)
+        trie = NgramTrie.view(NgramTrie.build(grams[seen], np.log10((c + MU * p) / (before + MU))[seen]).to_bytes())
         lp = trie.log_prob(grams)
-        lp = np.where(np.isnan(lp), np.log10(MU * p / (before + MU)), lp)
-        sums, hi = [], 0
-        for r, keys in zip(rows, each):
-            lo, hi = hi, hi + len(keys)
-            sums.append(np.bincount(_unpack(r["places"], "<u4").astype(np.int64), np.repeat(lp[at[lo:hi]], _unpack(r["per"], "<u4")), minlength=int(np.frombuffer(r["lens"], "<i4")[0])).tobytes())
-        return pa.table({"block": pa.array([r["block"] for r in rows], pa.int64()), "sums": pa.array(sums, pa.binary())})
+        lp = np.where(np.isnan(lp), np.log10(MU * p / (before + MU)), lp).astype("<f4")
+        return pa.table({
+            "block": pa.array([r["block"] for r in rows], pa.int64()), "shard": pa.array([r["shard"] for r in rows], pa.int32()),
+            "probs": pa.array([_pack(lp[at[hi - len(x) : hi]]) for x, hi in zip(keys, ends)], pa.binary()),
+        })
 
-    return sent.groupBy("shard").applyInArrow(answer, "block long, sums binary")
+    return sent.groupBy("shard").applyInArrow(tidied(answer), "block long, shard int, probs binary")
 
 
 def score(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
@@ -210,21 +210,24 @@ def score(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     room = total.n + 0.5 * (total.v + 1)
     sent = written(_bigrams(parts, counts, total.n, total.v, word_shards, shards), "bigrams")
     release(parts, counts)
-    sums = written(_answers(sent.where("shard >= 0"), room, 1 << 32), "sums")
+    answers = written(_answers(sent.where("shard >= 0").select("shard", "block", "grams"), room), "answers")
 
     def join(left, right):
         out = []
-        add = [np.frombuffer(x.as_py(), np.float64) for x in right["sums"]]
+        replies = [r["probs"] for r in sorted(right.to_pylist(), key=lambda r: r["shard"])]
         for r in left.to_pylist():
-            n = len(r["docs"])
+            n, lens = len(r["docs"]), np.frombuffer(r["lens"], "<i4").astype(np.int64)
+            lp = np.concatenate([_unpack(x, "<f4")[0] for x in replies]).astype(np.float64)
+            score = np.bincount(np.repeat(np.arange(n), lens), lp[_unpack(r["slots"], "<u4")[0]], minlength=n)
             out.append(pa.table({
-                "doc_id": pa.array(r["docs"], pa.int64()), "held_out": pa.array(np.frombuffer(r["held"], bool)), "n_tokens": pa.array(np.frombuffer(r["lens"], "<i4").astype(np.int64)),
+                "doc_id": pa.array(r["docs"], pa.int64()), "held_out": pa.array(np.frombuffer(r["held"], bool)), "n_tokens": pa.array(lens),
                 "n_known": pa.array(np.frombuffer(r["known"], np.int64)), "train_tokens": pa.array([total.n] * n, pa.int64()), "base_score": pa.array(np.frombuffer(r["base"], np.float64)),
-                "score": pa.array(np.sum(add, axis=0) if add else np.zeros(n)),
+                "score": pa.array(score),
             }))
         return pa.concat_tables(out) if out else pa.table({c: pa.array([], t) for c, t in _OUT})
 
-    return sent.where("shard = -1").groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(join, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    own = sent.where("shard = -1").drop("shard", "grams")
+    return own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidied(join), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 _OUT = [("doc_id", pa.int64()), ("held_out", pa.bool_()), *((c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")), ("base_score", pa.float64()), ("score", pa.float64())]
