@@ -3,10 +3,12 @@
 A page is cut into its leaf blocks: the text runs between block-level tags, with the path of open elements. Each
 block's vector is the sum of its hashed path parts' vectors, the mean of its hashed words' vectors and some
 measures; a bidirectional LSTM reads the page's whole sequence and gives every block one of LABELS. The main text
-is the blocks labelled `main`. The net is trained in numpy on generated pages and on at most SAMPLE pages of the
-input, labelled by the roles that their elements and class names declare.
+is the blocks labelled `main`. The net is trained in numpy on generated pages and on at most SAMPLE whole pages of the
+input of at most `example_chars` characters, labelled by the roles that their elements and class names declare; in
+half of the examples it does not get to see those names, so that it must tell roles by elements, order and words, too.
 
-Null and empty pages have no blocks. Nothing is dropped or capped within a page. Repeated rows give equal results.
+Null and empty pages have no blocks. Nothing is dropped or capped within a page; a line break is white space. Repeated
+rows give equal results, an empty table none; columns beyond the three named ones do not matter.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, span_hashes, text_bytes, words
+from .common import ALNUM, LOWER, blocks, span_hashes, text_bytes, tidied, words
 from .recurrent import F32, Adam, init, lstm, lstm_back, lstm_params
 
 LABELS = ("main", "menu", "header", "footer", "sidebar", "notice", "advert", "form", "comments")
@@ -31,11 +33,11 @@ _ATTR = re.compile(r"(class|id|role|hidden|style|aria-label)\s*(?:=\s*(?:\"([^\"
 _SPACE = re.compile(r"\s+")
 # element names of the HTML standard: fixed values
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_RAW = frozenset("script style noscript template svg math iframe object title head canvas textarea select".split())
+_RAW = frozenset("script style template iframe title head textarea select".split())
 _BLOCK = frozenset(
-    "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_CLOSES_P = _BLOCK - {"br", "button", "label", "option"}
+_CLOSES_P = _BLOCK - {"button", "label", "option"}
 _IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("table ul ol dl div article section main body html td th li nav aside footer header form".split())
 
@@ -82,6 +84,8 @@ def blocks_of(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
                     break
                 if name not in _BLOCK and stack[k][0] in _SCOPE:
                     break
+        elif name == "br":
+            text.append(" ")
         elif name:
             if name in _BLOCK:
                 flush()
@@ -143,11 +147,19 @@ def declared(path: tuple[str, ...]) -> int:
     return 0
 
 
+def nameless(page: list, rng) -> list:
+    """The page's blocks without what class names and the like say: of all elements, or of some."""
+    share = 1.0 if rng.random() < 0.5 else rng.random()
+    named = sorted({p for _, path, _ in page for p in path if "=" in p or p == "hidden"})
+    gone = {p for p in named if rng.random() < share}
+    return [(t, tuple(p for p in path if p not in gone), n) for t, path, n in page]
+
+
 def _generated(rng, vocabulary: list[str]) -> str:
     """A page of random make-up; its names declare the labels."""
     w = lambda lo, hi: " ".join(vocabulary[i] for i in rng.integers(0, len(vocabulary), rng.integers(lo, hi)))
     pick = lambda *x: x[rng.integers(len(x))]
-    paras = lambda: "".join(pick(f"<p>{w(8, 90)}</p>", f"<h2>{w(2, 7)}</h2><p>{w(10, 60)}</p>", f"<ul><li>{w(3, 12)}</li><li>{w(3, 12)}</li></ul>", f"<blockquote>{w(6, 30)}</blockquote>", f"<p>{w(5, 20)} <a href='#'>{w(1, 3)}</a> {w(5, 20)}<p>{w(6, 40)}", f"<pre>{w(5, 30)}</pre>", f"<table><tr><td>{w(1, 4)}</td><td>{w(1, 4)}</td></tr></table>") for _ in range(rng.integers(1, 9)))
+    paras = lambda: "".join(pick(f"<p>{w(8, 90)}</p>", f"<h2>{w(2, 7)}</h2><p>{w(10, 60)}</p>", f"<ul><li>{w(3, 12)}</li><li>{w(3, 12)}</li></ul>", f"<blockquote>{w(6, 30)}</blockquote>", f"<p>{w(5, 20)} <a href='#'>{w(1, 3)}</a> {w(5, 20)}<p>{w(6, 40)}", f"<pre>{w(5, 30)}</pre>", f"<table><tr><td>{w(1, 4)}</td><td>{w(1, 4)}</td></tr></table>") for _ in range(rng.integers(1, 9) if rng.random() < 0.97 else rng.integers(100, 500)))
     links = lambda: "".join(f"<li><a href='/x'>{w(1, 3)}</a></li>" for _ in range(rng.integers(2, 8)))
     extras = {
         "menu": lambda: pick(f"<nav><ul>{links()}</ul></nav>", f"<div class='menu'><ul>{links()}</ul></div>", f"<div class='breadcrumbs'><a href='/'>{w(1, 2)}</a></div>"),
@@ -272,23 +284,25 @@ def _grid(count):
 def fit(pages: list[str], *, made: int = 600, epochs: int = 10, seed: int = 4) -> Labeller:
     rng, net = np.random.default_rng(seed), Labeller()
     parsed = [b for p in pages if (b := blocks_of(p))]
-    vocabulary = sorted({w for p in parsed for t, _, _ in p[:30] for w in t.split()[:100]})[:20_000] or ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(500)]
+    vocabulary = sorted({w for p in parsed for t, _, _ in p for w in t.split()}) or ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(500)]
     vocabulary = [entities.escape(w) for w in vocabulary]
     parsed += [blocks_of(_generated(rng, vocabulary)) for _ in range(made)]
-    parsed = [p[:400] for p in parsed if p]
+    parsed = [p for p in parsed if p]
+    roles = [np.array([declared(path) for _, path, _ in p]) for p in parsed]
     opt = Adam(net.p, 1e-2)
     for epoch in range(epochs):
         opt.rate = 1e-2 * 0.7**epoch
         order = rng.permutation(len(parsed))
         for lo in range(0, len(order), 24):
-            own = [parsed[k] for k in order[lo : lo + 24]]
-            net.learn(Pages(own), np.array([declared(path) for p in own for _, path, _ in p]), opt)
+            own = order[lo : lo + 24]
+            seen = [nameless(parsed[k], rng) if rng.random() < 0.5 else parsed[k] for k in own]
+            net.learn(Pages(seen), np.concatenate([roles[k] for k in own]), opt)
     return net
 
 
-def sample(pages: DataFrame, html_col: str, most: int = SAMPLE) -> list[str]:
-    """At most `most` pages, those with the smallest hashes; none over 100,000 characters."""
-    some = pages.select(pages[html_col].alias("t")).where("length(t) <= 100000").select("t", F.xxhash64("t").alias("h"))
+def sample(pages: DataFrame, html_col: str, most: int = SAMPLE, example_chars: int = 100_000) -> list[str]:
+    """At most `most` whole pages of at most `example_chars` characters, those with the smallest hashes."""
+    some = pages.select(pages[html_col].alias("t")).where(f"length(t) <= {example_chars}").select("t", F.xxhash64("t").alias("h"))
     last = some.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
     if last is None:
         return []
@@ -296,14 +310,13 @@ def sample(pages: DataFrame, html_col: str, most: int = SAMPLE) -> list[str]:
     return [r.t for r in sorted(rows, key=lambda r: r.h)]
 
 
-def main_text(pages: DataFrame, *, id_col="page_id", url_col="url", html_col="html", model: Labeller | None = None) -> DataFrame:
+def main_text(pages: DataFrame, *, id_col="page_id", url_col="url", html_col="html", model: Labeller | None = None, example_chars: int = 100_000) -> DataFrame:
     """(page_id, url, text, n_chars, n_blocks, n_main) of every page: its main blocks, joined by newlines."""
-    shared = pages.sparkSession.sparkContext.broadcast(model or fit(sample(pages, html_col)))  # of fixed size
+    shared = pages.sparkSession.sparkContext.broadcast(model or fit(sample(pages, html_col, example_chars=example_chars)))  # of fixed size
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                b = batch.slice(lo, 500)
+            for b in blocks(batch, "html", 2 << 20):
                 parsed = [blocks_of(h) for h in b.column("html").to_pylist()]
                 labels = shared.value.label(parsed)
                 text = ["\n".join(t for (t, _, _), k in zip(p, own) if k == 0) for p, own in zip(parsed, labels)]
@@ -313,4 +326,4 @@ def main_text(pages: DataFrame, *, id_col="page_id", url_col="url", html_col="ht
                 )
 
     narrow = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].alias("html"))
-    return narrow.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_blocks long, n_main long")
+    return narrow.mapInArrow(tidied(run), "page_id long, url string, text string, n_chars long, n_blocks long, n_main long")
