@@ -7,7 +7,8 @@ reader takes any such container: it finds the tracks' codecs, durations and samp
 byte ranges through stsc, stco/co64, stsz and stss. 64-bit box sizes and chunk offsets are read and, where needed,
 written.
 
-Null text is empty; an empty payload is padded like any other. Malformed containers raise ValueError in `probe`;
+Null text is empty; an empty payload is padded like any other. Very long texts are containers of their own size; an
+empty table gives no rows. Malformed containers raise ValueError in `probe`;
 the column operator gives them null results instead. Equal texts give equal bytes.
 """
 
@@ -21,6 +22,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import blocks, tidied
+
 RATE, CHUNK, BLOCK = 8000, 4096, 64
 _CONTAINERS = frozenset((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"))
 _UNITY = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
@@ -190,12 +193,11 @@ def store(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                b = batch.slice(lo, 256)
+            for b in blocks(batch, "text"):
                 raw = [(t or "").encode() for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array([write(padded(x)) for x in raw], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(tidied(run), "doc_id long, n_bytes long, media binary")
 
 
 #: Of `describe`: what is found in the stored form.
@@ -218,9 +220,9 @@ def describe(media: DataFrame, *, media_col="media") -> DataFrame:
         return len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), feature(t), t.codec, t.duration / t.timescale if t.timescale else None, ranges
 
     def run(batches):
-        for b in batches:
+        for b in (b for batch in batches for b in blocks(batch, media_col, 4 << 20)):
             cols = zip(*(one(x) for x in b.column(media_col).to_pylist())) if b.num_rows else [()] * len(types)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(c, t) for c, t in zip(cols, types))], names=[*kept, *names])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in media.select(*kept).schema), FOUND])
-    return media.select(*kept, media_col).mapInArrow(run, schema)
+    return media.select(*kept, media_col).mapInArrow(tidied(run), schema)

@@ -2,8 +2,8 @@
 
 Features are hashed indicators of word n-grams (1 and 2) and word-shape n-grams (1 to 3). Each is scaled by its
 class log-count ratio; a linear hinge-loss model is then fitted by dual coordinate descent (Hsieh et al., 2008)
-and interpolated with the ratios' mean. The fit uses at most PER_CLASS labelled documents of each class; every
-whole text is scored, in the task that reads it.
+and interpolated with the ratios' mean. The fit uses at most PER_CLASS labelled documents of each class, of at most
+EXAMPLE_CHARS characters; every whole text is scored, in the task that reads it.
 
 Null and empty texts have no features and score by the bias. Without labels of both classes every score is 0.5.
 Labels, lang, source and doc_id are no inputs of a score. Repeated rows get equal scores.
@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, blocks, filter_rows, gram_hashes, mix, sigmoid, span_hashes, text_bytes, words
+from .common import NOT_SPACE, blocks, filter_rows, gram_hashes, mix, sigmoid, span_hashes, text_bytes, tidied, words
 from .labelled import held_out, sample
 
 #: Labelled documents of each class that are fitted at most.
 PER_CLASS = 1200
+#: Characters of such a document at most; longer ones are scored like all, but are no examples.
+EXAMPLE_CHARS = 30_000
 BITS = 18
 #: Byte classes of a word's shape: lower, upper, digit, non-ASCII; other bytes stand for themselves.
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -114,25 +116,25 @@ def _scores(model, texts) -> np.ndarray:
     return sigmoid(slope * (np.bincount(doc, w[feat], minlength=len(texts)) / np.sqrt(np.maximum(n, 1)) + bias))
 
 
-def _fitted(docs, labels, label, per_class, id_col, text_col):
-    model = fit(sample(docs, labels, label, per_class, id_col=id_col, text_col=text_col, most_chars=30_000))
+def _fitted(docs, labels, label, per_class, example_chars, id_col="doc_id", text_col="text"):
+    model = fit(sample(docs, labels, label, per_class, id_col=id_col, text_col=text_col, example_chars=example_chars))
     return docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS floats at most
 
 
-def accepted(docs: DataFrame, labels: DataFrame, *, label="quality", threshold: float = 0.5, per_class: int = PER_CLASS) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, *, label="quality", threshold: float = 0.5, per_class: int = PER_CLASS, example_chars: int = EXAMPLE_CHARS) -> DataFrame:
     """The rows of docs, whole, that score at least `threshold`."""
-    shared = _fitted(docs, labels, label, per_class, "doc_id", "text")
+    shared = _fitted(docs, labels, label, per_class, example_chars)
     return filter_rows(docs, lambda b: _scores(shared.value, b.column("text")) >= threshold)
 
 
-def score(docs: DataFrame, labels: DataFrame, *, label="quality", id_col="doc_id", text_col="text", threshold: float = 0.5, per_class: int = PER_CLASS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, *, label="quality", id_col="doc_id", text_col="text", threshold: float = 0.5, per_class: int = PER_CLASS, example_chars: int = EXAMPLE_CHARS) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs; predicted is 1 from `threshold` on."""
-    shared = _fitted(docs, labels, label, per_class, id_col, text_col)
+    shared = _fitted(docs, labels, label, per_class, example_chars, id_col, text_col)
 
     def run(batches):
         for batch in batches:
             for b in blocks(batch, "text"):
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_scores(shared.value, b.column("text")))], names=["doc_id", "score"])
 
-    out = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, score double")
+    out = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(tidied(run), "doc_id long, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -5,7 +5,7 @@ beside the mean of its hashed character trigrams' vectors. Every text is covered
 words; each is pooled by attention into a logit. A text's score is a logistic model, fitted on the sample, of its largest
 logit and of how many and which share of its windows look toxic.
 Training is multiple-instance: of a document only its strongest window, and some random ones of clean documents,
-are learned from. The fit uses at most PER_CLASS documents of each class.
+are learned from. The fit uses at most PER_CLASS documents of each class, of at most EXAMPLE_CHARS characters.
 
 Null and empty texts have one empty window. Without labels of both classes every score is 0.5. Labels, lang,
 source and doc_id are no inputs of a score. Repeated rows get equal scores.
@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, blocks, sigmoid, span_hashes, text_bytes, words
+from .common import ALNUM, LOWER, blocks, sigmoid, span_hashes, text_bytes, tidied, words
 from .labelled import held_out, sample
 from .recurrent import F32, Adam, gru, gru_back, gru_params, gru_step, init
 
 PER_CLASS = 700
-WINDOW, STRIDE = 32, 24
+#: Characters of such a document at most; longer ones are scored like all, but are no examples.
+EXAMPLE_CHARS = 30_000
+WINDOW, STRIDE = 32, 16
 DIM, HIDDEN, CHAR_BITS = 8, 8, 12
 
 
@@ -241,9 +243,9 @@ def _calibrated(x, y, steps: int = 60, ridge: float = 1.0):
     return w[:-1] / sd, float(w[-1] - (w[:-1] * mean / sd).sum())
 
 
-def score(docs: DataFrame, labels: DataFrame, *, label="toxic", id_col="doc_id", text_col="text", threshold: float = 0.7, per_class: int = PER_CLASS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, *, label="toxic", id_col="doc_id", text_col="text", threshold: float = 0.7, per_class: int = PER_CLASS, example_chars: int = EXAMPLE_CHARS) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs; predicted is 1 from `threshold` on."""
-    model = fit(sample(docs, labels, label, per_class, id_col=id_col, text_col=text_col, most_chars=30_000))
+    model = fit(sample(docs, labels, label, per_class, id_col=id_col, text_col=text_col, example_chars=example_chars))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # grows with the sample's bound only
 
     def run(batches):
@@ -252,5 +254,5 @@ def score(docs: DataFrame, labels: DataFrame, *, label="toxic", id_col="doc_id",
                 s = np.full(b.num_rows, 0.5) if shared.value is None else shared.value.score(b.column("text"))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.asarray(s, np.float64))], names=["doc_id", "score"])
 
-    out = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, score double")
+    out = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(tidied(run), "doc_id long, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
