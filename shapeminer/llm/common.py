@@ -13,6 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -299,5 +300,20 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return g
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays byte plane by byte plane, compressed together."""
+    head = np.array([len(a) for a in arrays], "<u4").tobytes()
+    return zstandard.compress(head + b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays), 1)
+
+
+def unpack(b: bytes, *dtypes) -> list[np.ndarray]:
+    raw, out = np.frombuffer(zstandard.decompress(b), np.uint8), []
+    at = 4 * len(dtypes)
+    for n, dtype in zip(raw[:at].view("<u4").tolist(), map(np.dtype, dtypes)):
+        out.append(np.ascontiguousarray(raw[at : at + n * dtype.itemsize].reshape(dtype.itemsize, n).T).view(dtype).ravel())
+        at += n * dtype.itemsize
+    return out
+
+
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))

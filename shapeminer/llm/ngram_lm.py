@@ -20,11 +20,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, blocks, crc_of, mix, release, span_hashes, text_bytes, tidied, words, written
+from .common import LOWER, NOT_SPACE, blocks, crc_of, mix, pack, release, span_hashes, text_bytes, tidied, unpack, words, written
 from .eftrie import NgramTrie
 
 HELD_MOD, HELD_OUT, MU = 5, 1, 16.0
@@ -33,21 +32,6 @@ END = np.uint64(0x454E442D454E4421)
 _BLOCK = "block long, docs array<long>, held binary, lens binary, words binary, counts binary, tokens binary, n_words long, n_tokens long"
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays byte plane by byte plane, compressed together."""
-    head = np.array([len(a) for a in arrays], "<u4").tobytes()
-    return zstandard.compress(head + b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays), 1)
-
-
-def _unpack(b: bytes, *dtypes) -> list[np.ndarray]:
-    raw, out = np.frombuffer(zstandard.decompress(b), np.uint8), []
-    at = 4 * len(dtypes)
-    for n, dtype in zip(raw[:at].view("<u4").tolist(), map(np.dtype, dtypes)):
-        out.append(np.ascontiguousarray(raw[at : at + n * dtype.itemsize].reshape(dtype.itemsize, n).T).view(dtype).ravel())
-        at += n * dtype.itemsize
-    return out
-
-
 def _by_shard(shard: np.ndarray):
     """(order, [(shard, slice of the order)]) of the items' shards, from one sort."""
     order = np.argsort(shard, kind="stable")
@@ -85,7 +69,7 @@ def _tokenised(docs: DataFrame) -> DataFrame:
                 ids = b.column("doc_id").to_pylist()
                 held = np.array([crc_of(x) % HELD_MOD == HELD_OUT for x in ids], bool)
                 counts = np.bincount(tokens[np.repeat(~held, lens)], minlength=len(kinds))
-                yield pa.RecordBatch.from_pylist([{"block": block, "docs": ids, "held": held.tobytes(), "lens": lens.astype("<i4").tobytes(), "words": kinds.tobytes(), "counts": _pack(counts.astype("<u4")), "tokens": _pack(tokens.astype("<u4")), "n_words": len(kinds), "n_tokens": int(lens.sum())}], schema=_BLOCK_ARROW)
+                yield pa.RecordBatch.from_pylist([{"block": block, "docs": ids, "held": held.tobytes(), "lens": lens.astype("<i4").tobytes(), "words": kinds.tobytes(), "counts": pack(counts.astype("<u4")), "tokens": pack(tokens.astype("<u4")), "n_words": len(kinds), "n_tokens": int(lens.sum())}], schema=_BLOCK_ARROW)
                 block += 1
 
     return docs.mapInArrow(tidied(run), _BLOCK)
@@ -103,17 +87,17 @@ def _word_counts(parts: DataFrame, shards: int) -> DataFrame:
     def send(batches):
         for b in batches:
             for r in b.to_pylist():
-                w, (c,) = np.frombuffer(r["words"], np.uint64), _unpack(r["counts"], "<u4")
+                w, (c,) = np.frombuffer(r["words"], np.uint64), unpack(r["counts"], "<u4")
                 order, parts = _by_shard((w % np.uint64(shards)).astype(np.int64))
                 w, c = w[order], c[order]
                 for k, own in parts:
-                    yield pa.RecordBatch.from_pydict({"shard": [k], "block": [r["block"]], "words": [w[own].tobytes()], "counts": [_pack(c[own])]}, schema=_WORDS_ARROW)
+                    yield pa.RecordBatch.from_pydict({"shard": [k], "block": [r["block"]], "words": [w[own].tobytes()], "counts": [pack(c[own])]}, schema=_WORDS_ARROW)
 
     def count(key, t):
         rows = t.select(["block", "words", "counts"]).to_pylist()
         each = [np.frombuffer(r["words"], np.uint64) for r in rows]
         kinds, at = np.unique(np.concatenate(each), return_inverse=True)
-        total = np.bincount(at, np.concatenate([_unpack(r["counts"], "<u4")[0] for r in rows]), minlength=len(kinds)).astype(np.int64)
+        total = np.bincount(at, np.concatenate([unpack(r["counts"], "<u4")[0] for r in rows]), minlength=len(kinds)).astype(np.int64)
         at = _inverse(np.argsort(-total, kind="stable"))[at]
         total = -np.sort(-total)
         ends = np.cumsum([len(x) for x in each])
@@ -121,7 +105,7 @@ def _word_counts(parts: DataFrame, shards: int) -> DataFrame:
         k = key[0].as_py()
         return pa.table({
             "block": pa.array([*(r["block"] for r in rows), -1], pa.int64()), "shard": pa.array([k] * (len(rows) + 1), pa.int32()),
-            "counts": pa.array([*(_pack(total[p], p * shards + k) for p in parts), None], pa.binary()),
+            "counts": pa.array([*(pack(total[p], p * shards + k) for p in parts), None], pa.binary()),
             "n": pa.array([0] * len(rows) + [int(total.sum())], pa.int64()), "v": pa.array([0] * len(rows) + [int((total > 0).sum())], pa.int64()),
         })
 
@@ -146,8 +130,8 @@ def _bigrams(parts: DataFrame, counts: DataFrame, n: int, v: int, word_shards: i
             order, _ = _by_shard((w % np.uint64(word_shards)).astype(np.int64))
             c, ids = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
             if len(w):
-                c[order], ids[order] = (np.concatenate(x) for x in zip(*(_unpack(x, np.int64, np.int64) for x in replies)))
-            tokens, lens = _unpack(r["tokens"], "<u4")[0].astype(np.int64), np.frombuffer(r["lens"], "<i4").astype(np.int64)
+                c[order], ids[order] = (np.concatenate(x) for x in zip(*(unpack(x, np.int64, np.int64) for x in replies)))
+            tokens, lens = unpack(r["tokens"], "<u4")[0].astype(np.int64), np.frombuffer(r["lens"], "<i4").astype(np.int64)
             held = np.frombuffer(r["held"], bool)
             doc = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
             ct = c[tokens]
@@ -167,11 +151,11 @@ def _bigrams(parts: DataFrame, counts: DataFrame, n: int, v: int, word_shards: i
             bc, wc = before_c[place], ct[place]
             spread = bc > max(1, n // (4 * shards))
             order, parts = _by_shard((mix(np.where(spread, keys, keys >> np.uint64(32))) % np.uint64(shards)).astype(np.int64))
-            slots = _pack(_inverse(order)[inverse].astype("<u4"))
+            slots = pack(_inverse(order)[inverse].astype("<u4"))
             out.append({"shard": -1, "block": r["block"], "docs": r["docs"], "held": r["held"], "lens": r["lens"], "known": known.tobytes(), "base": base.tobytes(), "slots": slots})
             keys, own, bc, wc = keys[order], own[order].astype("<u4"), bc[order], wc[order]
             for k, at in parts:
-                out.append({"shard": k, "block": r["block"], "grams": _pack(_delta(keys[at]), own[at], bc[at], wc[at])})
+                out.append({"shard": k, "block": r["block"], "grams": pack(_delta(keys[at]), own[at], bc[at], wc[at])})
         return pa.Table.from_pylist(out, schema=_SENT_ARROW)
 
     return parts.groupBy("block").cogroup(counts.where("block >= 0").groupBy("block")).applyInArrow(tidied(send), _SENT)
@@ -182,7 +166,7 @@ def _answers(sent: DataFrame, room: float) -> DataFrame:
 
     def answer(t):
         rows = t.select(["block", "shard", "grams"]).to_pylist()
-        keys, counts, before, word = zip(*(_unpack(r["grams"], np.uint64, "<u4", np.int64, np.int64) for r in rows))
+        keys, counts, before, word = zip(*(unpack(r["grams"], np.uint64, "<u4", np.int64, np.int64) for r in rows))
         ends = np.cumsum([len(x) for x in keys])
         kinds, place, at = np.unique(np.concatenate([np.cumsum(x, dtype=np.uint64) for x in keys]), return_index=True, return_inverse=True)
         c = np.bincount(at, np.concatenate(counts), minlength=len(kinds))
@@ -194,7 +178,7 @@ def _answers(sent: DataFrame, room: float) -> DataFrame:
         lp = np.where(np.isnan(lp), np.log10(MU * p / (before + MU)), lp).astype("<f4")
         return pa.table({
             "block": pa.array([r["block"] for r in rows], pa.int64()), "shard": pa.array([r["shard"] for r in rows], pa.int32()),
-            "probs": pa.array([_pack(lp[at[hi - len(x) : hi]]) for x, hi in zip(keys, ends)], pa.binary()),
+            "probs": pa.array([pack(lp[at[hi - len(x) : hi]]) for x, hi in zip(keys, ends)], pa.binary()),
         })
 
     return sent.groupBy("shard").applyInArrow(tidied(answer), "block long, shard int, probs binary")
@@ -217,8 +201,8 @@ def score(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
         replies = [r["probs"] for r in sorted(right.to_pylist(), key=lambda r: r["shard"])]
         for r in left.to_pylist():
             n, lens = len(r["docs"]), np.frombuffer(r["lens"], "<i4").astype(np.int64)
-            lp = np.concatenate([_unpack(x, "<f4")[0] for x in replies]).astype(np.float64)
-            score = np.bincount(np.repeat(np.arange(n), lens), lp[_unpack(r["slots"], "<u4")[0]], minlength=n)
+            lp = np.concatenate([unpack(x, "<f4")[0] for x in replies]).astype(np.float64)
+            score = np.bincount(np.repeat(np.arange(n), lens), lp[unpack(r["slots"], "<u4")[0]], minlength=n)
             out.append(pa.table({
                 "doc_id": pa.array(r["docs"], pa.int64()), "held_out": pa.array(np.frombuffer(r["held"], bool)), "n_tokens": pa.array(lens),
                 "n_known": pa.array(np.frombuffer(r["known"], np.int64)), "train_tokens": pa.array([total.n] * n, pa.int64()), "base_score": pa.array(np.frombuffer(r["base"], np.float64)),

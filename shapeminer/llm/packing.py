@@ -43,7 +43,7 @@ class CachedTokenizer:
     #: Latin letters, digits, punctuation and plain white space, whose runs are candidates for the cache.
     _RANGES = ((0x09, 0x0A), (0x0D, 0x0D), (0x20, 0x7E), (0xA1, 0xB1), (0xB4, 0xB8), (0xBA, 0xBB), (0xBF, 0x12F), (0x131, 0x24F), (0x2013, 0x2026))
 
-    def __init__(self, path: str, most: int = 24 << 20):
+    def __init__(self, path: str, most: int = 64 << 20):
         from tokenizers import Tokenizer
 
         self.tok, self.most, self.used, self.cache = Tokenizer.from_file(path), most, 0, {}
