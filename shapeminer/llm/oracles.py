@@ -13,9 +13,14 @@ bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s FRO
 dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw))),
 m AS (SELECT doc_id, i, n, item_id FROM dw JOIN bw USING (n, s)),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY 1),
+t AS (SELECT DISTINCT item_id, s, unnest(string_split(s, ' ')) AS x FROM bw), k AS (SELECT item_id, s, count(*) AS kinds FROM t GROUP BY 1, 2),
+p AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d), px AS (SELECT * FROM p WHERE x IN (SELECT x FROM t)),
+full_ AS (SELECT doc_id, item_id, s, kinds FROM (SELECT DISTINCT doc_id, x FROM px) JOIN t USING (x) JOIN k USING (item_id, s) GROUP BY 1, 2, 3, 4 HAVING count(*) = kinds),
+span AS (SELECT doc_id, item_id, kinds, count(DISTINCT px.x) OVER (PARTITION BY doc_id, item_id, full_.s ORDER BY i RANGE BETWEEN CURRENT ROW AND 19 FOLLOWING) AS c FROM full_ JOIN t USING (item_id, s) JOIN px USING (doc_id, x)),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM span WHERE c = kinds GROUP BY 1),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY 1)
-SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)"""
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN near USING (doc_id)"""
 
 NEAR_DEDUP = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),

@@ -154,9 +154,57 @@ def test_proximity_matches(spark):
     bench = spark.createDataFrame([(9, "a b c")], "item_id long, text string")
     got = {(r.doc_id, r.start, r.end) for r in decontaminate.matches(docs, bench, slop=4).collect()}
     assert got == {(1, 1, 5), (3, 0, 3)}
-    assert [(r.doc_id, r.start, r.end) for r in decontaminate.matches(docs, bench).collect()] == [(3, 0, 3)]
-    index = {(r.doc_id, tuple(r.positions)) for r in decontaminate.postings(docs).collect()}
-    assert (2, (1, 2, 3, 4, 5, 6)) in index
+    assert [(r.doc_id, r.item_id, r.start, r.end) for r in decontaminate.matches(docs, bench).collect()] == [(3, 9, 0, 3)]
+    nameless = spark.createDataFrame([(None, "a b c")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.matches(docs, nameless).collect()] == [(3, -1)]
+
+
+def test_stored_postings_are_the_words_places(spark, docs, texts):
+    h = lambda w: int(common.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())])).view(np.int64)[0])
+    seen = Counter()
+    for r in decontaminate.postings(docs, gap=20).collect():
+        counts, places = np.array(r.counts), np.cumsum(common.unpack(r.places, "<i4")[0].astype(np.int64))
+        n = np.frombuffer(r.n_words, "<i4")
+        first = np.cumsum(n) - n + np.arange(len(n)) * 20
+        assert list(r.vocabulary) == sorted(r.vocabulary, key=lambda v: v % 2**64) and counts.sum() == len(places) == n.sum()
+        for term, own in zip(r.vocabulary, np.split(places, np.cumsum(counts)[:-1])):
+            for p in own:
+                d = np.searchsorted(first, p, "right") - 1
+                seen[r.docs[d], int(p - first[d]), term] += 1
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    assert seen == Counter((k, j, h(w)) for k, t in enumerate(texts) for j, w in enumerate(word.findall(lower(t))))
+
+
+def test_large_benchmark_and_proximity(spark, monkeypatch):
+    """As many items as documents, phrases shared by many of them, looked up in several parts."""
+    monkeypatch.setattr(decontaminate, "PHRASES", 40)
+    monkeypatch.setattr(decontaminate, "ITEMS", 3)
+    r = random.Random(12)
+    few = WORDS[:60]
+    text = lambda n: " ".join(r.choice(few) for _ in range(n))
+    shared = text(12)
+    docs = [text(r.randint(1, 80)) for _ in range(120)]
+    items = [r.choice([text(3), text(4), shared, " ".join(r.choice(docs).split()[3:16]), text(14)]) for _ in range(120)]
+    docs += [f"{text(5)} {shared} {text(5)}", " ".join(reversed(shared.split())), shared + " " + shared, None]
+    want = {}
+    for d, t in enumerate(docs):
+        w = (t or "").split()
+        hit, exact, near = set(), set(), set()
+        for i, x in enumerate(items):
+            x = x.split()
+            for k in range(max(1, len(x) - 9) if x else 0):
+                win = x[k : k + 10]
+                at = [j for j in range(len(w) - len(win) + 1) if w[j : j + len(win)] == win]
+                hit |= {j + m for j in at for m in range(len(win))}
+                exact |= {i} if at else set()
+                if any(set(win) <= set(w[j : j + 20]) for j in range(len(w))):
+                    near.add(i)
+        want[d] = (len(w), len(hit), len(exact), hashlib.sha256(",".join(sorted(map(str, exact))).encode()).hexdigest(), len(near))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {x.doc_id: (x.n_words, x.n_hit, x.n_items, x.items_sha256, x.n_near) for x in decontaminate.contamination(df, bench).collect()}
+    assert got == want
+    assert {x.doc_id for x in decontaminate.clean(df, bench).collect()} == {d for d, x in want.items() if not x[1]}
 
 
 def brute_components(texts, n):
