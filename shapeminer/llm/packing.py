@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidied
+from .common import NOT_SPACE, blocks, span_hashes, tidied, words
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 _ARROW = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
@@ -36,56 +36,72 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 class CachedTokenizer:
     """The ids of the tokenizer in `path`. Where the file's pre-tokenizer treats text as `_split` does, each distinct
-    run between spaces is encoded once and kept, up to `most` bytes; whether it does is tried out, character by
-    character, when the file is loaded. Texts with other characters, or with an added token's string, go to the
-    tokenizer whole, and so do all texts if another rule holds."""
+    run between spaces is encoded once and kept by a 64-bit hash, up to `most` bytes; whether it does is tried out,
+    character by character, when the file is loaded. Texts with other characters, or with an added token's string, go
+    to the tokenizer whole, and so do all texts if another rule holds."""
 
     #: Latin letters, digits, punctuation and plain white space, whose runs are candidates for the cache.
     _RANGES = ((0x09, 0x0A), (0x0D, 0x0D), (0x20, 0x7E), (0xA1, 0xB1), (0xB4, 0xB8), (0xBA, 0xBB), (0xBF, 0x12F), (0x131, 0x24F), (0x2013, 0x2026))
 
-    def __init__(self, path: str, most: int = 64 << 20):
+    def __init__(self, path: str, most: int = 128 << 20):
         from tokenizers import Tokenizer
 
-        self.tok, self.most, self.used, self.cache = Tokenizer.from_file(path), most, 0, {}
+        self.tok, self.most = Tokenizer.from_file(path), most
         self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+").findall
         added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added) or "(?!)").search
         self.plain = re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(z))}" for a, z in self._RANGES) + "]*").fullmatch
+        self._forget()
         if not self._agrees():
             self.plain = lambda _: None
 
+    def _forget(self):
+        """Of each run's hash its number; of each number its ids, in one array with their ends; of each pre-token its ids."""
+        self.numbers, self.flat, self.ends, self.parts = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64), {}
+
     def _agrees(self) -> bool:
         """Whether runs encoded by themselves give the tokenizer's ids, for every character in several places."""
-        for a, z in self._RANGES:
-            for c in map(chr, range(a, z + 1)):
-                for probe in (f"ab{c}cd E{c} {c}{c}x 1{c}2", f"{c} it's We'LL {c}a_b{c}"):
-                    if not self.added(probe) and self._cached(probe).tolist() != self.tok.encode(probe, add_special_tokens=False).ids:
-                        return False
-        return True
+        chars = [chr(c) for a, z in self._RANGES for c in range(a, z + 1)]
+        probes = [p for c in chars for p in (f"ab{c}cd E{c} {c}{c}x 1{c}2", f"{c} it's We'LL {c}a_b{c}") if not self.added(p)]
+        return all(x.tolist() == y.ids for x, y in zip(self._cached(probes), self.tok.encode_batch(probes, add_special_tokens=False)))
 
     def ids(self, text: str) -> np.ndarray:
-        if self.added(text) or not self.plain(text):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self._cached(text)
-
-    def _cached(self, text: str) -> np.ndarray:
-        chunks, cache = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split(), self.cache
-        try:
-            found = [cache[x] for x in chunks]
-        except KeyError:
-            if self.used > self.most:
-                cache.clear()
-                self.used = 0
-            for x in chunks:
-                if x not in cache:
-                    cache[x] = y = self._encode(x)
-                    self.used += len(x) + len(y) + 200  # with the objects' heads
-            found = [cache[x] for x in chunks]
-        return np.frombuffer(b"".join(found), "<u4")
-
-    def _encode(self, chunk: str) -> bytes:
-        tokenize = self.tok.model.tokenize
-        return np.array([t.id for part in self.split(chunk) for t in tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHARS))], "<u4").tobytes()
+        return self.batch([text])[0]
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        plain = [bool(self.plain(t)) and not self.added(t) for t in texts]
+        cached = iter(self._cached([t for t, p in zip(texts, plain) if p]))
+        return [next(cached) if p else np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32) for t, p in zip(texts, plain)]
+
+    def _cached(self, texts: list[str]) -> list[np.ndarray]:
+        raw = [(t if t.isascii() else unicodedata.normalize("NFC", t)).lower().encode() for t in texts]
+        data, offs = np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw], dtype=np.int64)]
+        s, e, doc = words(data, offs, NOT_SPACE)
+        kinds, first, run = np.unique(span_hashes(data, s, e), return_index=True, return_inverse=True)
+        if (len(self.numbers) + len(self.parts)) * 200 + self.flat.nbytes > self.most:
+            self._forget()
+        numbers = self.numbers
+        number = np.array([numbers.get(h, -1) for h in kinds.tolist()], np.int64)
+        if len(new := np.flatnonzero(number < 0)):
+            found = [self._encode(bytes(data[a:z]).decode()) for a, z in zip(s[first[new]].tolist(), e[first[new]].tolist())]
+            number[new] = len(numbers) + np.arange(len(new))
+            numbers.update(zip(kinds[new].tolist(), number[new].tolist()))
+            self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum([len(x) for x in found])]
+            self.flat = np.concatenate([self.flat, np.array([i for x in found for i in x], np.uint32)])
+        number = number[run]
+        size = self.ends[number + 1] - self.ends[number]
+        ends = np.cumsum(size)
+        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.ends[number] - ends + size, size)]
+        cuts = np.r_[0, ends][np.searchsorted(doc, np.arange(len(texts) + 1))]
+        return [ids[a:z] for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+    def _encode(self, chunk: str) -> list[int]:
+        out, parts = [], self.parts
+        for part in self.split(chunk):
+            if (own := parts.get(part)) is None:
+                own = parts[part] = [t.id for t in self.tok.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHARS))]
+            out += own
+        return out
 
 
 def _byte_chars() -> dict[int, int]:
@@ -248,9 +264,9 @@ def pack_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", end_id:
         tok = CachedTokenizer(path)
 
         def items():
-            for b in batches:
-                for key, text in zip(b.column(0).to_pylist(), b.column(1)):
-                    yield Item(key, np.append(tok.ids(text.as_py() or ""), np.uint32(end_id)))
+            for b in (b for batch in batches for b in blocks(batch, "text")):
+                for key, ids in zip(b.column(0).to_pylist(), tok.batch([t or "" for t in b.column(1).to_pylist()])):
+                    yield Item(key, np.append(ids, np.uint32(end_id)))
 
         yield from _packed(items(), limits)
 
@@ -274,9 +290,9 @@ def pack_conversations(turns: DataFrame, *, id_col="conv_id", turn_col="turn", r
         def items():
             for b in batches:
                 for key, own in zip(b.column(0).to_pylist(), b.column(1)):
-                    parts, loss = [], []
-                    for t in own.as_py():
-                        parts.append(np.append(tok.ids(t["text"] or ""), np.uint32(end_id)))
+                    parts, loss, own = [], [], own.as_py()
+                    for t, ids in zip(own, tok.batch([t["text"] or "" for t in own])):
+                        parts.append(np.append(ids, np.uint32(end_id)))
                         loss.append(np.full(len(parts[-1]), t["role"] in answers))
                     yield Item(key, np.concatenate(parts), np.r_[0, np.cumsum(np.concatenate(loss))])
 
