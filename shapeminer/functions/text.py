@@ -7,30 +7,32 @@ from datetime import datetime, timedelta
 from fractions import Fraction
 from math import inf
 
-#: Suffixes of durations: fixed values. Months and years have no fixed length and are kept apart.
-_UNITS = (
-    ("microseconds", r"(?:micro|u|µ)s(?:ec(?:ond)?s?)?|micros?"),
-    ("milliseconds", r"(?:milli|m)s(?:ec(?:ond)?s?)?|millis?"),
-    ("seconds", r"s(?:ec(?:ond)?s?)?"),
-    ("minutes", r"mi(?:n(?:ute)?s?)?"),
-    ("hours", r"h(?:(?:ou)?rs?)?"),
-    ("days", r"d(?:ays?)?"),
-    ("weeks", r"w(?:(?:ee)?ks?)?"),
-    ("months", r"m(?:(?:on)?ths?|ons?)?"),
-    ("years", r"y(?:(?:ea)?rs?)?"),
-)
-_PART = re.compile(r"\s*,?\s*([+-]?\d+)\s*(?:" + "|".join(f"(?P<{n}>{p})" for n, p in reversed(_UNITS)) + r")\b")
+# the words that units of durations go by: fixed values; months and years have no fixed length and are kept apart
+_SECOND = "s sec secs second seconds".split()
+_UNITS = {
+    "microseconds": ["micro", "micros", *(p + w for p in ("micro", "u", "µ") for w in _SECOND)],
+    "milliseconds": ["milli", "millis", *(p + w for p in ("milli", "m") for w in _SECOND)],
+    "seconds": _SECOND,
+    "minutes": "mi min mins minute minutes".split(),
+    "hours": "h hr hrs hour hours".split(),
+    "days": "d day days".split(),
+    "weeks": "w wk wks week weeks".split(),
+    "months": "m mth mths month months mon mons".split(),
+    "years": "y yr yrs year years".split(),
+}
+_UNIT_OF = {word: unit for unit, words in _UNITS.items() for word in words}
+_AMOUNT = re.compile(r"([+-]?\d+)\s*([^\W\d_]+)(?!\w)\s*,?\s*")
 
 
 def duration_parts(s: str) -> dict[str, int]:
     """'1 week, 2 days' as {'weeks': 1, 'days': 2}; ValueError if anything is left over or a unit comes twice."""
-    out, at, s = {}, 0, s.strip(" \t\n,")
-    while at < len(s):
-        m = _PART.match(s, at)
-        if not m or m.lastgroup in out:
+    out, rest = {}, s.strip(" \t\n,")
+    while rest:
+        m = _AMOUNT.match(rest)
+        unit = _UNIT_OF.get(m[2]) if m else None
+        if unit is None or unit in out:
             raise ValueError(f"invalid duration {s}")
-        out[m.lastgroup] = int(m[1])
-        at = m.end()
+        out[unit], rest = int(m[1]), rest[m.end() :]
     if not out:
         raise ValueError(f"invalid duration {s}")
     return out

@@ -31,9 +31,9 @@ def infer(spark):
         ([""] * 70 + ["5", "99"] * 15, {"empty_threshold": Fraction(1, 2)}, '[ str range="".."99" ]'),
         ([True, False] * 50, {}, "[ bool ]"),
         ([], {}, "[ empty ]"),
-        ([f"mode {i:03o}" for i in range(256)], {}, '[ str range="mode 000".."mode 377" pattern="mode ooo" ]'),
-        ([f"hex {i:02x}" for i in range(256)], {}, '[ str range="hex 00".."hex ff" pattern="hex xx" ]'),
-        ([" foo", "bar  ", "baz"] * 30, {}, '[ str range="bar".."foo" pattern="x.." ]'),
+        ([f"slot-{i:03o}" for i in range(200)], {}, '[ str range="slot-000".."slot-307" pattern="slot-ooo" ]'),
+        ([f"<{i:03x}>" for i in range(900)], {}, '[ str range="<000>".."<383>" pattern="<xxx>" ]'),
+        ([" elm", "oak  ", "ash"] * 30, {}, '[ str range="ash".."oak" pattern="Iii" ]'),
         (["http://a.b/" + "x" * i for i in range(1, 12)], {}, "[ URL ]"),
         ([1.5, 2, 3.25], {}, "[ float range=1.5..3.25 ]"),
     ],
@@ -54,8 +54,8 @@ def test_timestamps(infer):
 
 
 def test_records_and_optional_fields(infer):
-    root = infer([{"foo": 1, "bar": 2}] * 999 + [{"foo": 1}])
-    assert [(k, n, opt) for k, n, opt, _ in root.item.fields] == [("bar", 999, True), ("foo", 1000, False)]
+    root = infer([{"width": k, "depth": 2} for k in range(340)] + [{"width": 7}] * 3)
+    assert [(k, n, opt) for k, n, opt, _ in root.item.fields] == [("depth", 340, True), ("width", 343, False)]
 
 
 def test_table_drops_rows_behind_bad_keys(infer):

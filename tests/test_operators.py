@@ -71,16 +71,17 @@ def test_parse_datetime(spark):
 
 
 def test_durations():
-    assert text.parse_duration("1hrs, 5mins").total_seconds() == 3900 and text.parse_duration("1 week, 2 days").days == 9
+    assert text.parse_duration("7 min 2hr").total_seconds() == 7620 and text.parse_duration("3wks,4 days").days == 25 and text.parse_duration("-2 d").days == -2
+    assert text.parse_duration("250 µs").microseconds == 250 and text.parse_duration("9 msecs").microseconds == 9000
     assert text.duration_parts("1 m") == {"months": 1} and text.duration_parts("1 min") == {"minutes": 1}
-    for bad in ("", "foo", "1 fortnight", "1s 2s"):
+    for bad in ("", "soon", "1 fortnight", "4s 2s", "1h2min", "3", "d"):
         with pytest.raises(ValueError):
             text.duration_parts(bad)
 
 
 def test_formats():
-    assert [text.format_int(x) for x in (0, 10, 999900, 1_000_000, -1000, 2**32)] == ["0", "10", "999.9K", "1.0M", "-1.0K", "4.3G"]
-    assert text.format_chars("abcdh") == "a-dh" and text.sparkline(0, 2, 5, 7, 9) == "..1..2.3.."
+    assert [text.format_int(x) for x in (7, 42, 123_456, 5_250_000, -2500, 3**30)] == ["7", "42", "123.5K", "5.2M", "-2.5K", "205.9T"]
+    assert text.format_chars("zmpno7") == "7m-pz" and text.sparkline(0, 2, 5, 7, 9) == "..1..2.3.."
     assert text.format_value('a"b') == '"a""b"' and text.format_value(None) == "null" and text.format_epoch(-2209161600, 86400) == "days since 1899-12-30"
     assert text.num("1%") == text.num("1/100") and text.size("2K") == 2048
     with pytest.raises(ValueError):

@@ -6,18 +6,18 @@ from pyspark.sql import functions as F
 from shapeminer import cli
 from shapeminer.sources.reader import Source, detect_dialect, detect_encoding, detect_format
 
-PEOPLE = [("Émilie du Châtelet", "French"), ("Søren Kierkegaard", "Danish"), ("Ada Lovelace", "English"), ("José Saramago", "Portuguese")] * 5
+DISHES = [("crème brûlée", "dessert"), ("smørrebrød", "snack"), ("goulash", "stew"), ("jalapeño soup", "starter")] * 5
 
 
 @pytest.mark.parametrize("encoding", ["utf-8", "latin-1"])
 @pytest.mark.parametrize("sep", [",", "\t", ";"])
 def test_csv(spark, tmp_path, encoding, sep):
-    path = tmp_path / "people.csv"
-    path.write_bytes("".join(f"{sep.join(r)}\n" for r in [("Name", "Nationality"), *PEOPLE]).encode(encoding))
+    path = tmp_path / "dishes.csv"
+    path.write_bytes("".join(f"{sep.join(r)}\n" for r in [("dish", "kind"), *DISHES]).encode(encoding))
     s = Source((str(path),)).detected(spark)
     assert (s.encoding, s.format, s.csv_delimiter) == (encoding, "csv", sep)
     rows = Source((str(path),)).read(spark).select(F.try_variant_get("doc", "$[0]", "string").alias("n")).collect()
-    assert [r.n for r in rows] == [n for n, _ in PEOPLE]
+    assert [r.n for r in rows] == [n for n, _ in DISHES]
 
 
 def test_json_yaml_and_others(spark, tmp_path):
@@ -35,6 +35,45 @@ def test_json_yaml_and_others(spark, tmp_path):
         Source((str(tmp_path / "blank"),)).read(spark)
 
 
+def _docs(spark, *paths, **options):
+    return [json.loads(r.j) for r in Source(tuple(map(str, paths)), **options).read(spark).select(F.to_json("doc").alias("j")).collect()]
+
+
+def test_ragged_csv_keeps_every_cell(spark, tmp_path):
+    (tmp_path / "r.csv").write_text('source_id,b\n1,2\n1,2,3\n4\n"x\ny",,"q""r",\n5,\n,6\n')
+    got = _docs(spark, tmp_path / "r.csv")
+    assert sorted(got) == sorted([["1", "2"], ["1", "2", "3"], ["4"], ["x\ny", "", 'q"r', ""], ["5", ""], ["", "6"]])
+
+
+def test_json_lines(spark, tmp_path):
+    docs = [{"a": k, "b": ["é", None]} for k in range(50)]
+    text = "\n".join(json.dumps(d, ensure_ascii=False) for d in docs)
+    (tmp_path / "x.json").write_text(text + "\n\n")
+    (tmp_path / "l1.json").write_text(text, encoding="latin-1")
+    key = lambda d: d["a"]
+    assert sorted(_docs(spark, tmp_path / "x.json"), key=key) == docs
+    assert sorted(_docs(spark, tmp_path / "l1.json", encoding="latin-1"), key=key) == docs
+    (tmp_path / "one.json").write_text(json.dumps(docs, indent=1))
+    assert _docs(spark, tmp_path / "one.json") == [docs]
+
+
+def test_loose_json_and_encodings(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"a": "x\x01y\tz"}')
+    assert _docs(spark, tmp_path / "c.json", json_strict=False) == [{"a": "x\x01y\tz"}]
+    (tmp_path / "p.json").write_bytes('["zażółć"]'.encode("cp1250"))
+    assert _docs(spark, tmp_path / "p.json", encoding="cp1250") == [["zażółć"]]
+    (tmp_path / "s.json").write_bytes(b'["a\xffb"]')
+    assert _docs(spark, tmp_path / "s.json", encoding="shift_jis", encoding_strict=False) == [["a\ufffdb"]]
+    assert _docs(spark, tmp_path / "s.json", encoding="utf-8", encoding_strict=False) == [["a\ufffdb"]]
+
+
+def test_formats_are_told_apart():
+    yes = {"yaml": ["k: v\n", "- a, b\n- c, d\n", "# note\nx:\n  - 1\n  - 2\n", "a: 1\nb: {c: 2"], "csv": ["p;q\n1;2\n3;4\n", "n\tm\n1\t2\n", '"only"\n"one"\n', 'a,b\n"x, y",2\n3,4\n5,6,7\n'], "unknown": ["\n\n", "", "word\nother\n"]}
+    for kind, texts in yes.items():
+        for t in texts:
+            assert detect_format(t) == kind, t
+
+
 def test_detection():
     assert detect_encoding(b"\xff" * 2000) == "latin-1" and detect_encoding("é".encode()[:1]) == "utf-8"
     assert detect_format(" {") == "json" and detect_format("a: 1\nb: 2\n") == "yaml" and detect_format("a,b\n1,2\n") == "csv"
