@@ -127,6 +127,7 @@ def converted(hist: DataFrame, decisions: DataFrame, used: list[int]) -> DataFra
 def patterns(hist: DataFrame, paths: DataFrame) -> dict[str, tuple]:
     """The mined patterns of fixed-width paths; a position's set is collected up to the alphabet that matters."""
     own = hist.join(F.broadcast(paths), "path_id", "left_semi").where("v != ''")
+    # what exceeds 512 characters is beyond every class but "any", whatever the rest
     rows = charclass.positions(own, "path_id").select("path_id", "pos", F.size("chars").alias("k"), F.slice("chars", 1, 512).alias("chars")).collect()
     by: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r.path_id, r.pos)):

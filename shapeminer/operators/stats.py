@@ -85,9 +85,15 @@ def elements(hist: DataFrame) -> DataFrame:
     return hist.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("_i", "n")
 
 
-def common_and_rare(hist: DataFrame, *path: str, value: str = "v", k: int = 3) -> DataFrame:
-    """The k most and k least common values of each path, with their rank; ties by value."""
-    by = Window.partitionBy(*path).orderBy(F.desc("n"), F.asc(value))
-    of = Window.partitionBy(*path)
-    ranked = hist.withColumns({"rank": F.row_number().over(by), "_all": F.count("*").over(of)})
-    return ranked.where(f"rank <= {k} or rank > _all - {k}").drop("_all")
+def common_and_rare(hist: DataFrame, *path: str, value: str = "v", k: int = 3, parts: int = 32) -> DataFrame:
+    """The k most and k least common values of each path, with their rank; ties by value.
+
+    In two steps, first in each of `parts` parts of a path's values, so that no task sorts a whole path.
+    """
+    first, last = [F.desc("n"), F.asc(value)], [F.asc("n"), F.desc(value)]
+    own = Window.partitionBy(*path, "_part")
+    some = hist.withColumn("_part", F.pmod(F.xxhash64(value), F.lit(parts))).withColumns({"_a": F.row_number().over(own.orderBy(*first)), "_z": F.row_number().over(own.orderBy(*last))}).where(f"_a <= {k} or _z <= {k}")
+    whole = Window.partitionBy(*path)
+    some = some.withColumns({"_a": F.row_number().over(whole.orderBy(*first)), "_z": F.row_number().over(whole.orderBy(*last))}).where(f"_a <= {k} or _z <= {k}")
+    sizes = F.broadcast(hist.groupBy(*path).agg(F.count("*").cast("int").alias("_all")))  # a row per path
+    return some.join(sizes, [*path]).withColumn("rank", F.when(F.col("_a") <= k, F.col("_a")).otherwise(F.col("_all") - F.col("_z") + 1)).drop("_part", "_a", "_z", "_all")

@@ -205,8 +205,7 @@ class Analyzer:
         # distinct strings may convert to one value
         typed = typed.groupBy("path_id", F.struct("i", "d", "t", "s").alias("v")).agg(F.sum("n").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
         held.append(typed)
-        spread = 256 if typed.count() > 10 * stats.SPREAD_FROM else 0
-        values = {r.path_id: self._stats(r) for r in stats.statistics(typed, "path_id", spread=spread).collect()}
+        values = {r.path_id: self._stats(r) for r in stats.statistics(typed, "path_id", spread=256).collect()}
         for r in stats.common_and_rare(typed, "path_id").orderBy("path_id", "rank").collect():
             values[r.path_id].samples.append((_plain(r.v), r.n))
         size = stats.lengths(typed.select("path_id", F.col("v.s").alias("v"), "n").where("v is not null"), "path_id")

@@ -76,11 +76,11 @@ def _unpivoted(df: DataFrame) -> DataFrame:
 
 
 @_query("""
-WITH u AS (UNPIVOT (SELECT c_custkey::VARCHAR AS c_custkey, c_name::VARCHAR AS c_name, c_nationkey::VARCHAR AS c_nationkey, c_mktsegment::VARCHAR AS c_mktsegment FROM customer) ON * INTO NAME path_id VALUE v),
+WITH u AS (UNPIVOT (SELECT c_custkey::VARCHAR AS c_custkey, c_name::VARCHAR AS c_name, c_nationkey::VARCHAR AS c_nationkey, c_mktsegment::VARCHAR AS c_mktsegment, CAST(c_acctbal AS DECIMAL(18,2))::VARCHAR AS c_acctbal FROM customer) ON * INTO NAME path_id VALUE v),
 h AS (SELECT path_id, v, count(*) AS n FROM u GROUP BY 1, 2)
 SELECT path_id, CAST(sum(n) AS BIGINT) AS card, count(*) AS distinct_values, max(n) = 1 AS is_unique FROM h GROUP BY 1""")
 def unique_column_scan(spark, sf_dir):
-    df = _unpivoted(_t(spark, sf_dir, "customer").drop("c_acctbal"))
+    df = _unpivoted(_t(spark, sf_dir, "customer").withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(18,2)")))
     return stats.histogram(df, F.col("v"), "path_id").groupBy("path_id").agg(F.sum("n").alias("card"), F.count("*").alias("distinct_values"), (F.max("n") == 1).alias("is_unique"))
 
 
@@ -303,13 +303,15 @@ def validate_range_split(spark, sf_dir):
     return o.where("o_orderkey % 2 = 1").join(seen).groupBy("o_orderstatus").agg(F.count_if(ok).alias("valid"), F.count_if(~ok).alias("invalid"))
 
 
-@_query("SELECT count(*) FILTER (WHERE regexp_full_match(s_name, 'Customer#[0-9]{9}')) AS valid, count(*) AS n FROM supplier")
+@_query("SELECT count(*) FILTER (WHERE regexp_full_match(s, 'Customer#[0-9]{9}')) AS valid, count(*) AS n FROM (SELECT s_name AS s FROM supplier UNION ALL SELECT c_name FROM customer UNION ALL SELECT c_name || '0' FROM customer)")
 def validate_str_pattern(spark, sf_dir):
     from .pattern import Node, Stats
 
     sets = [*map(charclass.CharClass, "Customer#"), *[charclass.DEC] * 9]
     node = Node("str", pattern=tuple(sets), values=Stats(1, 1, "", "", "", "", "~", True))
-    return _t(spark, sf_dir, "supplier").agg(F.count_if(node.predicate(F.col("s_name"))).alias("valid"), F.count("*").alias("n"))
+    c = _t(spark, sf_dir, "customer")
+    names = _t(spark, sf_dir, "supplier").select(F.col("s_name").alias("s")).union(c.select("c_name")).union(c.select(F.concat("c_name", F.lit("0"))))
+    return names.agg(F.count_if(node.predicate(F.col("s"))).alias("valid"), F.count("*").alias("n"))
 
 
 @_query("SELECT CAST(count(*) FILTER (WHERE event_id % 50 <> 0) AS BIGINT) AS kept, CAST(count(*) FILTER (WHERE event_id % 50 = 0) AS BIGINT) AS rejected FROM events")
@@ -369,10 +371,9 @@ def widen_types(spark, sf_dir):
     return spark.createDataFrame(rows, "a string, b string, wide string")
 
 
-@_query("""SELECT p_partkey, CASE WHEN p_partkey * 997 >= 1000000000 THEN printf('%.1fG', p_partkey * 997 / 1000000000.0) WHEN p_partkey * 997 >= 1000000 THEN printf('%.1fM', p_partkey * 997 / 1000000.0) WHEN p_partkey * 997 >= 1000 THEN printf('%.1fK', p_partkey * 997 / 1000.0) ELSE CAST(p_partkey * 997 AS VARCHAR) END AS si FROM part WHERE (p_partkey * 997 / 100) % 1 <> 0.5 AND p_partkey * 997 % 1000 NOT IN (50, 150, 250, 350, 450, 550, 650, 750, 850, 950)""")
+@_query("""SELECT p_partkey, CASE WHEN p_partkey * 997 >= 1000000000 THEN printf('%.1fG', p_partkey * 997 / 1000000000.0) WHEN p_partkey * 997 >= 1000000 THEN printf('%.1fM', p_partkey * 997 / 1000000.0) WHEN p_partkey * 997 >= 1000 THEN printf('%.1fK', p_partkey * 997 / 1000.0) ELSE CAST(p_partkey * 997 AS VARCHAR) END AS si FROM part""")
 def format_int_si(spark, sf_dir):
-    p = _t(spark, sf_dir, "part").where("p_partkey * 997 % 1000 not in (50, 150, 250, 350, 450, 550, 650, 750, 850, 950) and (p_partkey * 997 / 100) % 1 != 0.5")  # where roundings differ
-    return p.select("p_partkey", C.format_int(F.col("p_partkey") * 997).alias("si"))
+    return _t(spark, sf_dir, "part").select("p_partkey", C.format_int(F.col("p_partkey") * 997).alias("si"))
 
 
 @_query("""WITH q AS (SELECT l_returnflag AS f, min(l_quantity) AS lo, max(l_quantity) AS hi, quantile_disc(l_quantity, 0.25) AS q1, quantile_disc(l_quantity, 0.5) AS q2, quantile_disc(l_quantity, 0.75) AS q3 FROM lineitem GROUP BY 1),
@@ -392,18 +393,25 @@ def parse_duration_interval(spark, sf_dir):
     return spark.createDataFrame(rows, "s string, seconds double")
 
 
-#: Rows (a metadata count) from which a path's window is spread over ranges of values.
-_LARGE = 20_000_000
-_PROFILED = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_TEXTS = ("l_returnflag", "l_linestatus")
 
 
-@_query(_quartiles_sql("SELECT path_id, v, count(*) AS n FROM (UNPIVOT (SELECT " + ", ".join(f"{c}::DOUBLE AS {c}" for c in _PROFILED) + " FROM lineitem) ON * INTO NAME path_id VALUE v) GROUP BY 1, 2", "path_id"))
+def _split_sql(kind: str, cells: str) -> str:
+    names = ("min", "q1", "q2", "q3", "max")
+    own = lambda k: ", ".join(f'"{n}" AS {n}_{k}' if k == kind else f"NULL AS {n}_{k}" for n in names)
+    return f"SELECT path_id, card, distinct_values, is_unique, {own('d')}, {own('s')} FROM (" + _quartiles_sql(f"SELECT path_id, v, count(*) AS n FROM (UNPIVOT (SELECT {cells} FROM lineitem) ON * INTO NAME path_id VALUE v) GROUP BY 1, 2", "path_id") + ")"
+
+
+@_query(_split_sql("d", ", ".join(f"{c}::DOUBLE AS {c}" for c in _NUMBERS) + ", epoch(CAST(l_shipdate AS TIMESTAMP))::DOUBLE AS l_shipdate") + " UNION ALL " + _split_sql("s", ", ".join(_TEXTS)))
 def profile_lineitem(spark, sf_dir):
-    """The flat profile: one scan, one histogram over all columns, one window."""
-    li = _t(spark, sf_dir, "lineitem")
-    cols = ", ".join(f"'{c}', cast({c} as double)" for c in _PROFILED)
-    cells = li.selectExpr(f"stack({len(_PROFILED)}, {cols}) as (path_id, v)")
-    return stats.statistics(stats.histogram(cells, F.col("v"), "path_id"), "path_id", spread=64 if li.count() > _LARGE else 0)
+    """The flat profile of all columns: one scan, one histogram, windows over ranges of values."""
+    cells = [f"'{c}', named_struct('d', cast({c} as double), 's', cast(null as string))" for c in _NUMBERS]
+    cells.append("'l_shipdate', named_struct('d', cast(unix_timestamp(cast(l_shipdate as timestamp)) as double), 's', cast(null as string))")
+    cells += [f"'{c}', named_struct('d', cast(null as double), 's', {c})" for c in _TEXTS]
+    li = _t(spark, sf_dir, "lineitem").selectExpr(f"stack({len(cells)}, {', '.join(cells)}) as (path_id, v)")
+    got = stats.statistics(stats.histogram(li, F.col("v"), "path_id"), "path_id", spread=64)
+    return got.select("path_id", "card", "distinct_values", "is_unique", *(F.col(f"{n}.{k}").alias(f"{n}_{k}") for k in "ds" for n in ("min", "q1", "q2", "q3", "max")))
 
 
 @_query("""SELECT 'price' AS path_id, CAST(0 AS BIGINT) AS bad, count(DISTINCT CAST(o_totalprice AS VARCHAR)) AS good, true AS converts FROM orders
@@ -424,20 +432,8 @@ def validate_tuple_lengths(spark, sf_dir):
     return ok.agg(F.count_if("ok").alias("tuples"), F.count_if(~F.col("ok")).alias("others"))
 
 
-@_query()
-def profile_events_nested(spark, sf_dir):
-    from .analyzer import Analyzer, profile
-
-    return profile(Analyzer(spark, Options.cli()).analyze(_t(spark, sf_dir, "events").select(F.parse_json("props").alias("doc"))), spark)
-
-
-@_query()
-def profile_text(spark, sf_dir):
-    from .analyzer import Analyzer
-
-    root = Analyzer(spark, Options.cli()).analyze(_t(spark, sf_dir, "nation"))
-    return spark.createDataFrame([(root.render(),)], "text string")
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["profile_events_nested"](spark, sf_dir)
 
 
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return json_flatten_props(spark, sf_dir)
+from . import engine  # noqa: E402, F401  registers the queries that run whole analyses
