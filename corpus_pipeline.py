@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shapeminer.llm.common import table, written
+from shapeminer.llm.common import release, table, written
 from shapeminer.llm.decontaminate import clean
 from shapeminer.llm.neardup import deduplicated
 from shapeminer.llm.packing import pack_documents
@@ -46,6 +46,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        older, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if k:
+            release(older)
     return STAGES[-1][1](spark, docs, sf_dir)
