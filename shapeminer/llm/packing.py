@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -86,8 +87,8 @@ class CachedTokenizer:
             found = [self._encode(bytes(data[a:z]).decode()) for a, z in zip(s[first[new]].tolist(), e[first[new]].tolist())]
             number[new] = len(numbers) + np.arange(len(new))
             numbers.update(zip(kinds[new].tolist(), number[new].tolist()))
-            self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum([len(x) for x in found])]
-            self.flat = np.concatenate([self.flat, np.array([i for x in found for i in x], np.uint32)])
+            self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum([len(x) // 4 for x in found])]
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(found), "<u4")])
         number = number[run]
         size = self.ends[number + 1] - self.ends[number]
         ends = np.cumsum(size)
@@ -95,13 +96,15 @@ class CachedTokenizer:
         cuts = np.r_[0, ends][np.searchsorted(doc, np.arange(len(texts) + 1))]
         return [ids[a:z] for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
-    def _encode(self, chunk: str) -> list[int]:
-        out, parts = [], self.parts
-        for part in self.split(chunk):
-            if (own := parts.get(part)) is None:
-                own = parts[part] = [t.id for t in self.tok.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHARS))]
-            out += own
-        return out
+    def _encode(self, chunk: str) -> bytes:
+        own = self.parts.get(chunk)
+        return own if own is not None else b"".join([self._part(p) for p in self.split(chunk)])
+
+    def _part(self, part: str) -> bytes:
+        if (own := self.parts.get(part)) is None:
+            found = self.tok.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHARS))
+            own = self.parts[part] = array("I", [t.id for t in found]).tobytes()
+        return own
 
 
 def _byte_chars() -> dict[int, int]:
