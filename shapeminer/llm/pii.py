@@ -28,7 +28,7 @@ from .common import blocks, tidied
 from .recurrent import F32, Adam, init, lstm, lstm_back, lstm_params
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, WINDOW, CONTEXT, DIM, HIDDEN = 400, 448, 24, 12, 12
+SAMPLE, WINDOW, CONTEXT, DIM, HIDDEN = 400, 448, 24, 12, 8
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 EXAMPLE = 96  # characters of a window for the fit
 _OTHER, _EDGE = 128, 129  # codes of characters beyond ASCII, and of none
@@ -322,7 +322,7 @@ def planted(rng) -> tuple[str, int | None]:
     return forms[rng.integers(len(forms))]()
 
 
-def fit(texts: list[str], *, seed: int = 5, examples: int = 4000, epochs: int = 8) -> Tagger:
+def fit(texts: list[str], *, seed: int = 5, examples: int = 5000, epochs: int = 10) -> Tagger:
     rng, net = np.random.default_rng(seed), Tagger()
     fill = [t for t in texts if len(t) > 40] or [" ".join(_word(rng) for _ in range(60))]
     # windows at any place of the texts: one half of those with digits or at signs, one half of all

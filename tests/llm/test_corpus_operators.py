@@ -469,7 +469,7 @@ def test_pii_windows_own_every_character_once():
 
 def test_pii_decodes_whole_texts():
     """Windows, bounds and stretches give what one run of the net and one Viterbi pass over the whole text give."""
-    model = pii.fit([prose(80) for _ in range(20)], examples=600, epochs=2)
+    model = pii.fit([prose(80) for _ in range(20)], examples=2000, epochs=4)
     r = np.random.default_rng(5)
     texts = ["", "7"] + [prose(r.integers(1, 90)) + " " + pii.planted(r)[0] + r.choice(["", " ", "\n"]) + prose(r.integers(1, 40)) for _ in range(60)] + ["9" * 300]
     counts = np.array([len(t) for t in texts])
