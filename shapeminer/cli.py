@@ -36,6 +36,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument(f"--hide-{name}", dest=f"show_{name}", action="store_false")
     p.add_argument("--show-range", choices=("hidden", "limits", "median", "quartiles", "graph"), default="limits")
     p.add_argument("--hide-range", dest="show_range", action="store_const", const="hidden")
+    p.add_argument("--color", choices=("auto", "always", "never"), default="auto", help="auto: on a terminal")
     p.add_argument("--min-timestamp", default="20 years")
     p.add_argument("--max-timestamp", default="10 years")
     p.add_argument("--timestamps", type=timestamps, default=timestamps("unix"))
@@ -62,6 +63,7 @@ def run(args: list[str] | None = None, spark=None) -> str:
     from pyspark.sql import functions as F
 
     from .plans.analyzer import Analyzer
+    from .plans.pattern import TERMINAL
     from .sources.reader import Source
 
     a = parser().parse_args(args)
@@ -80,8 +82,9 @@ def run(args: list[str] | None = None, spark=None) -> str:
     docs = source.read(spark).select(F.col("doc"))
     analyzer = Analyzer(spark, options_of(a))
     root = analyzer.merge(analyzer.analyze(docs))
+    style = TERMINAL if a.color == "always" or a.color == "auto" and sys.stdout.isatty() else None
     single = len(files) == 1 and root.kind == "list" and source.detected(spark).format != "csv"
-    return (root.item if single else root).render(show_range=a.show_range, show_count=a.show_count, show_lengths=a.show_lengths, show_pattern=a.show_pattern, show_samples=a.show_samples, str_limit=a.str_limit)
+    return (root.item if single else root).render(show_range=a.show_range, show_count=a.show_count, show_lengths=a.show_lengths, show_pattern=a.show_pattern, show_samples=a.show_samples, str_limit=a.str_limit, style=style)
 
 
 def main(args: list[str] | None = None) -> int:

@@ -316,3 +316,16 @@ def measured_nodes(spark, sf_dir):
     docs = spark.createDataFrame([(1,)], "x int")
     names = [r.r_name for r in _t(spark, sf_dir, "region").collect()]  # five rows
     return docs.select(F.lit(Analyzer(spark, _options()).measure([{"name": n} for n in names])).cast("long").alias("nodes"))
+
+
+@_query("""WITH x AS (SELECT min(o_orderkey) AS k0, max(o_orderkey) AS k1, min(o_orderstatus) AS s0, max(o_orderstatus) AS s1, min(o_totalprice) FILTER (WHERE o_totalprice > 100000) AS p0, max(o_totalprice) FILTER (WHERE o_totalprice > 100000) AS p1 FROM orders WHERE o_orderkey % 2 = 0)
+SELECT o_orderkey % 5 AS form, count(*) FILTER (WHERE o_orderkey % 5 = 0 AND o_orderkey BETWEEN k0 AND k1 AND o_orderstatus BETWEEN s0 AND s1 AND (o_totalprice <= 100000 OR o_totalprice BETWEEN p0 AND p1)) AS valid, count(*) AS n FROM orders, x GROUP BY 1""")
+def validated_structures(spark, sf_dir):
+    """Records inferred from one half of the orders check all of them: as they are, without a field, with a field
+    too many, with a field of another type, and with one out of range."""
+    o, form = _t(spark, sf_dir, "orders"), F.col("o_orderkey") % 5
+    price = F.when(F.col("o_totalprice") > 100000, F.col("o_totalprice"))
+    doc = lambda *more, key=F.col("o_orderkey"), status=F.col("o_orderstatus"), price=price: F.parse_json(F.to_json(F.struct(key.alias("key"), status.alias("status"), price.alias("price"), *more)))
+    root = Analyzer(spark, _options()).analyze(o.where("o_orderkey % 2 = 0").select(doc().alias("doc")))
+    forms = F.when(form == 0, doc()).when(form == 1, doc(status=F.lit(None).cast("string"))).when(form == 2, doc(F.lit(1).alias("other"))).when(form == 3, doc(key=F.lit("x"))).otherwise(doc(price=F.lit(1e12)))
+    return o.select(form.alias("form"), root.item.matches(forms).alias("ok")).groupBy("form").agg(F.count_if("ok").alias("valid"), F.count("*").alias("n"))

@@ -138,6 +138,34 @@ class Node:
             return self.predicate(F.try_variant_get(v, "$", "timestamp"))
         return ~shape.isin("STRING", "BOOLEAN") & self.predicate(F.try_variant_get(v, "$", "double"))
 
+    def is_field(self, c: Column) -> Column:
+        """Whether a key column's value is one of the record's literal keys."""
+        return F.coalesce(c.isin([str(f[0]) for f in self.fields]), F.lit(False))
+
+    def matches(self, v: Column) -> Column:
+        """As accepts, and all that a container holds is of its type: a record has all mandatory fields and none but
+        its own, a table's keys and values, a list's and a tuple's items are of theirs. A null is of no scalar type."""
+        ok = F.coalesce(self.accepts(v), F.lit(False))
+        if self.kind in ("record", "table"):
+            held = F.try_variant_get(v, "$", "map<string,variant>")
+            if self.kind == "table":
+                key, _, _, value = self.fields[0]
+                parts = [F.forall(F.map_keys(held), key.key_predicate), F.forall(F.map_values(held), value.matches)]
+            else:
+                parts = [F.forall(F.map_keys(held), self.is_field)]
+                parts += [F.when(F.map_contains_key(held, str(k)), n.matches(F.try_element_at(held, F.lit(str(k))))).otherwise(bool(optional)) for k, _, optional, n in self.fields]
+        elif self.kind in ("list", "tuple"):
+            held = F.try_variant_get(v, "$", "array<variant>")
+            if self.kind == "list":
+                parts = [F.forall(held, self.item.matches)] if self.item else []
+            else:
+                parts = [F.when(F.size(held) > k, n.matches(F.get(held, F.lit(k)))).otherwise(bool(optional)) for k, (_, _, optional, n) in enumerate(self.fields)]
+        else:
+            return ok
+        for part in parts:
+            ok = ok & F.coalesce(part, F.lit(False))
+        return ok
+
     def key_predicate(self, c: Column) -> Column:
         return self.predicate(C.stripped(c))
 
@@ -178,37 +206,38 @@ class Node:
             inner = f"{self.base} {format_epoch(self.offset, self.scale)} of {inner}"
         return f"str of {inner} pattern={self.pattern_text()}" if self.repr == "str" else inner
 
-    def render(self, *, show_range: str = "limits", show_count=False, show_lengths=False, show_pattern=True, show_samples=False, str_limit: int = 20, depth: int = 0) -> str:
-        """The command line's text."""
-        again = lambda n, d=depth: n.render(show_range=show_range, show_count=show_count, show_lengths=show_lengths, show_pattern=show_pattern, show_samples=show_samples, str_limit=str_limit, depth=d)
+    def render(self, *, show_range: str = "limits", show_count=False, show_lengths=False, show_pattern=True, show_samples=False, str_limit: int = 20, style: dict | None = None, depth: int = 0) -> str:
+        """The command line's text; style: see TERMINAL."""
+        st = lambda name, text: f"{style[name]}{text}{_PLAIN}" if style and name in style and text else text
+        again = lambda n, d=depth: n.render(show_range=show_range, show_count=show_count, show_lengths=show_lengths, show_pattern=show_pattern, show_samples=show_samples, str_limit=str_limit, style=style, depth=d)
         if self.container:
             a, b = {"list": "[]", "tuple": "()"}.get(self.kind, "{}")
             below = [n for f in self.fields for n in (f[3], f[0]) if isinstance(n, Node)] + ([self.item] if self.item else [])
             deep = any(x.container for n in below for x in n.walk())
             wide = deep or len(self.fields) > 1
-            parts = [again(self.item, depth + wide)] if self.kind == "list" else [again(n, depth + wide) if self.kind == "tuple" else f"{again(k) if isinstance(k, Node) else repr(k)}{'?' * bool(opt)}: {again(n, depth + wide)}" for k, _, opt, n in self.fields]
+            parts = [again(self.item, depth + wide)] if self.kind == "list" else [again(n, depth + wide) if self.kind == "tuple" else f"{again(k) if isinstance(k, Node) else repr(k)}{st('optional', '?' * bool(opt))}: {again(n, depth + wide)}" for k, _, opt, n in self.fields]
             count = f"count={format_int(self.lengths.card if self.lengths else self.count)}" if show_count else ""
             if not wide:
                 return f"{a} {count + ' ' if count else ''}{parts[0] if parts else ''} {b}"
             pad = "\n" + "    " * (depth + 1)
             return f"{a}{' ' + count if count else ''}{','.join(pad + p for p in parts)}\n{'    ' * depth}{b}"
         name = {"datetime": "timestamp", "url": "URL"}.get(self.kind, self.kind)
-        text = name
+        text = st("unique" if self.values and self.values.unique else "type", name)
         if self.kind in ("int", "float", "datetime", "str"):
             by_length = self.kind == "str" and self.lengths and self.lengths.max is not None and self.lengths.max > str_limit
             stats, shown = (self.lengths, show_lengths) if by_length else (self.values, True)
             if show_count and not by_length:
                 text += f" count={format_int(stats.distinct)}"
             if shown and show_range != "hidden" and stats:
-                text += f" {'lengths' if by_length else 'range'}={_range(stats, show_range)}"
+                text += f" {'lengths' if by_length else 'range'}={st('fill', '..').join(_range(stats, show_range))}"
             if show_samples and self.values and self.values.samples and not by_length:
                 text += " samples=" + ", ".join(format_value(x) for x, _ in self.values.samples)
         if self.kind == "str" and show_pattern and self.pattern:
-            text += f' pattern="{self.pattern_text()}"'
+            text += f' pattern="{st("pattern", self.pattern_text())}"'
         if self.scale:
-            text = f"{self.base} of {text}"
+            text = f"{st('type', self.base)} of {text}"
         if self.repr == "str":
-            text = f"str of {text}" + (f' pattern="{self.pattern_text()}"' if show_pattern and self.pattern else "")
+            text = f"{st('type', 'str')} of {text}" + (f' pattern="{st("pattern", self.pattern_text())}"' if show_pattern and self.pattern else "")
         return text
 
     def xml(self) -> ET.Element:
@@ -233,14 +262,20 @@ class Node:
         return e
 
 
-def _range(s: Stats, mode: str) -> str:
+#: Terminal codes of the parts of a rendered structure: colours, and an underline for types whose values are unique.
+TERMINAL = {"type": "\x1b[36m", "unique": "\x1b[36;4m", "fill": "\x1b[32m", "pattern": "\x1b[33m", "optional": "\x1b[31m"}
+_PLAIN = "\x1b[0m"
+
+
+def _range(s: Stats, mode: str) -> list[str]:
+    """The values of a range, from its least on."""
     v = format_value
     if s.distinct < 2:
-        return v(s.max)
+        return [v(s.max)]
     if mode == "graph" and s.distinct > 4 and isinstance(s.min, (int, float)):
-        return f"{v(s.min)} [{sparkline(s.min, s.q1, s.q2, s.q3, s.max)}] {v(s.max)}"
+        return [f"{v(s.min)} [{sparkline(s.min, s.q1, s.q2, s.q3, s.max)}] {v(s.max)}"]
     inner = [s.q1] * (mode == "quartiles" and s.distinct > 4) + [s.q2] * (mode in ("median", "quartiles") and s.distinct > 2) + [s.q3] * (mode == "quartiles" and s.distinct > 4)
-    return "..".join(map(v, [s.min, *inner, s.max]))
+    return [v(x) for x in (s.min, *inner, s.max)]
 
 
 def _written_alike(a: Node, b: Node) -> bool:

@@ -104,3 +104,27 @@ def test_validation_predicate(spark, infer):
     root = infer([f"AB{i:02}" for i in range(50)])
     df = spark.createDataFrame([("AB07",), ("AB077",), ("ZZ07",), ("AB99",)], "s string")
     assert [r.ok for r in df.select(root.item.predicate(df.s).alias("ok")).collect()] == [True, False, False, False]
+
+
+def test_whole_structures_are_matched(infer, spark):
+    from pyspark.sql import functions as F
+
+    record = infer([{"a": k, "b": [k, k + 1, *range(k % 3)], **({"c": "x"} if k % 2 else {})} for k in range(30)]).item
+    cases = {'{"a": 3, "b": [1, 2]}': True, '{"a": 3, "b": [], "c": "x"}': True, '{"b": [1]}': False, '{"a": 3, "b": [1], "d": 1}': False, '{"a": 3, "b": ["t"]}': False, '{"a": 99, "b": [1]}': False, '{"a": null, "b": [1]}': False, "[]": False, "null": False}
+    docs = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.ok for r in docs.select("t", record.matches(F.parse_json("t")).alias("ok")).collect()} == cases
+    table = infer({f"{k}": {"n": k} for k in range(40)})
+    cases = {'{"7": {"n": 5}}': True, "{}": True, '{"seven": {"n": 5}}': False, '{"7": {"n": "5"}}': False, '{"7": {}}': False}
+    docs = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert table.kind == "table" and {r.t: r.ok for r in docs.select("t", table.matches(F.parse_json("t")).alias("ok")).collect()} == cases
+
+
+def test_terminal_style(infer):
+    from shapeminer.plans.pattern import TERMINAL
+
+    root = infer([{"a": k, **({"c": f"n{k:03}"} if k % 2 else {})} for k in range(60)])
+    text = root.render(style=TERMINAL)
+    assert "'c'\x1b[31m?\x1b[0m" in text and "\x1b[36;4mint\x1b[0m range=0\x1b[32m..\x1b[0m59" in text
+    for code in {*TERMINAL.values(), "\x1b[0m"}:
+        text = text.replace(code, "")
+    assert text == root.render()
