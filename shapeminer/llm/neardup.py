@@ -5,7 +5,8 @@ A document is its set of word shingles. Texts with equal sets form a class; each
 split into 10 chunks of 4 symbols. By pigeonhole two signatures at distance at most 19 have a chunk with at most
 one error; each chunk is therefore indexed four times, each time without one of its symbols, and all such pairs
 share a key. A Jaccard similarity of 0.8 exceeds distance 19 with a chance of about one in 10^5. Pairs under the
-threshold are confirmed on the full shingle sets.
+threshold are confirmed on the full shingle sets, which are cut by ranges of hashes into pieces of about PIECE
+shingles, so that no row, and no task that gets the rows of one text, grows with the length of a text.
 
 A bucket is never expanded into all its pairs: its members are compared with a few pivots, confirmed links are
 merged into components, and only members that are then still in different components of a bucket are compared
@@ -31,8 +32,10 @@ from .components import components
 SYMBOLS, CHUNK = 40, 4
 #: Largest signature distance that the index is sure to find: one error a chunk at most in some chunk.
 MOST_ERRORS = 2 * (SYMBOLS // CHUNK) - 1
-#: Shingles of one side of a block pair, about; columns of one matrix product.
-BLOCK_SHINGLES, COLUMNS = 400_000, 8192
+#: Shingles and rows of one side of a block pair, about; columns of one matrix product.
+BLOCK_SHINGLES, BLOCK_ROWS, COLUMNS = 400_000, 2048, 2048
+#: Shingles of one piece of a set, about.
+PIECE = 4096
 _MULT = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _SIGS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])
 
@@ -102,7 +105,7 @@ def _keys(classes: DataFrame) -> DataFrame:
 
 
 def _near(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """The pairs (x, y) whose signatures differ in MOST_ERRORS symbols at most and whose sizes allow the similarity."""
+    """The pairs (x, y), with their sizes, whose signatures differ in MOST_ERRORS symbols at most and whose sizes allow the similarity."""
     side = lambda k: classes.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}"))
     joined = salted_join(salted_join(pairs, side("x"), "x", "y"), side("y"), "y", "x").where(F.expr(f"100 * least(nx, ny) >= {least} * greatest(nx, ny)"))
 
@@ -110,9 +113,9 @@ def _near(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
         for b in batches:
             sx, sy = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, SYMBOLS) for c in ("sx", "sy"))
             keep = pa.array((sx != sy).sum(1) <= MOST_ERRORS)
-            yield pa.RecordBatch.from_arrays([b.column("x").filter(keep), b.column("y").filter(keep)], names=["x", "y"])
+            yield b.select(["x", "y", "nx", "ny"]).filter(keep)
 
-    return joined.select("x", "y", "sx", "sy").mapInArrow(tidied(run), "x long, y long")
+    return joined.select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(tidied(run), "x long, y long, nx long, ny long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -128,13 +131,57 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return maybe_among(docs, ids, "doc_id", "maybe").where("maybe").select("doc_id", "text").mapInArrow(tidied(run), "id long, set array<long>")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """The pairs whose full shingle sets have the similarity: 100 * intersection >= least * union."""
-    one, two = sets.toDF("x", "sx"), sets.toDF("y", "sy")
+def _level(size: int, most: int) -> int:
+    """A set of this size is cut into 2^level pieces."""
+    return (max(0, size - 1) // most).bit_length()
+
+
+def _pieces(docs: DataFrame, ids: DataFrame, n: int, least: int, most: int = PIECE) -> DataFrame:
+    """(id, row, n, level, piece, set): the sets of `_sets`, cut by the leading `level` bits of the hashes; no empty pieces.
+
+    A set comes at its own level and at those of all larger sets that can have the similarity with it. `row` tells
+    apart the rows of a repeated id; n is the size of the whole set.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for b in blocks(batch, "text"):
+                d, g = shingle_sets(b.column("text"), n)
+                start = np.searchsorted(d, np.arange(b.num_rows + 1))
+                parts = []
+                for k in np.flatnonzero(np.diff(start)):
+                    own = g[start[k] : start[k + 1]]
+                    for level in range(_level(len(own), most), _level(100 * len(own) // least, most) + 1):
+                        at = np.searchsorted(own, np.arange(1, 1 << level, dtype=np.uint64) << np.uint64(64 - level)) if level else []
+                        size = np.diff(np.concatenate([[0], at, [len(own)]]).astype(np.int64))
+                        full = np.flatnonzero(size)
+                        parts.append((np.full(len(full), k), np.full(len(full), len(own)), np.full(len(full), level, np.int32), full.astype(np.int32), size[full], own))
+                if parts:
+                    k, size_of, level, piece, size, values = map(np.concatenate, zip(*parts))
+                    at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                    of = [b.column(c).take(pa.array(k)) for c in ("doc_id", "row")]
+                    yield pa.RecordBatch.from_arrays([*of, pa.array(size_of), pa.array(level), pa.array(piece), pa.ListArray.from_arrays(at, pa.array(values.view(np.int64)))], names=["id", "row", "n", "level", "piece", "set"])
+
+    found = maybe_among(docs, ids, "doc_id", "maybe").where("maybe and doc_id is not null").select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
+    return found.mapInArrow(tidied(run), "id long, row long, n long, level int, piece int, set array<long>")
+
+
+def _confirmed(pairs: DataFrame, pieces: DataFrame, least: int, most: int = PIECE) -> DataFrame:
+    """The pairs whose full shingle sets have the similarity: 100 * intersection >= least * union.
+
+    Both sets of a pair are taken at the larger one's level, and the sizes of their pieces' intersections are added.
+    """
+    above = f"(greatest(nx, ny) - 1) div {most}"
+    cut = pairs.select("x", "y", F.expr(f"if({above} = 0, 0, length(bin({above})))").alias("level")).distinct()
+    cut = cut.withColumn("piece", F.expr("explode(sequence(0, shiftleft(1, level) - 1))"))
+    key = lambda c: F.struct(F.col(c).alias("id"), "level", "piece")
+    cut = cut.select(key("x").alias("x"), key("y").alias("y"))
+    one, two = (pieces.select(key("id").alias(k), F.col("row").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("set").alias(f"s{k}")) for k in "xy")
     return (
-        salted_join(salted_join(pairs, one, "x", "y"), two, "y", "x")
-        .select("x", "y", (F.size("sx") + F.size("sy")).alias("both"), F.size(F.array_intersect("sx", "sy")).alias("inter"))
-        .where(f"100L * inter >= {least}L * (both - inter)").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        salted_join(salted_join(cut, one, "x", "y"), two, "y", "x")
+        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.level").alias("level"), "rx", "ry", (F.col("nx") + F.col("ny")).alias("both"), F.size(F.array_intersect("sx", "sy")).alias("inter"))
+        .groupBy("a", "b", "level", "rx", "ry", "both").agg(F.sum("inter").alias("inter"))
+        .where(f"100L * inter >= {least}L * (both - inter)").select("a", "b")
     )
 
 
@@ -164,6 +211,7 @@ def _links_between(table: pa.Table, least: int) -> pa.Table:
         owner = np.repeat(np.arange(len(size)), size)
         kinds, column = np.unique(values[at[0] : at[-1]], return_inverse=True)
         both = np.zeros((len(rows[0]), len(rows[1])), np.float32)
+        m = [np.empty((len(r), COLUMNS), np.float32) for r in rows]
         order = np.argsort(column, kind="stable")
         column, owner = column[order], owner[order]
         place = np.empty(len(side), np.int64)
@@ -171,15 +219,14 @@ def _links_between(table: pa.Table, least: int) -> pa.Table:
             place[r] = np.arange(len(r))
         for lo in range(0, len(kinds), COLUMNS):
             part = slice(*np.searchsorted(column, [lo, lo + COLUMNS]))
-            m = [np.zeros((len(r), COLUMNS), np.float32) for r in rows]
             for k in (0, 1):
+                m[k].fill(0)
                 own = side[owner[part]] == k
                 m[k][place[owner[part][own]], column[part][own] - lo] = 1
             both += m[0] @ m[1].T
-        union = size[rows[0]][:, None] + size[rows[1]][None, :] - both
-        linked = near & (100.0 * both >= least * union) & (comp[rows[0]][:, None] != comp[rows[1]][None, :])
         for k, j in enumerate(rows[0]):
-            hits = rows[1][linked[k]]
+            union = size[j] + size[rows[1]] - both[k].astype(np.int64)
+            hits = rows[1][near[k] & (100 * both[k].astype(np.int64) >= least * union) & (comp[rows[1]] != comp[j])]
             _, first = np.unique(comp[hits], return_index=True)
             out_x += [rep[j]] * len(first)
             out_y += rep[hits[first]].tolist()
@@ -200,7 +247,8 @@ def _rest(members: DataFrame, found: DataFrame, docs: DataFrame, classes: DataFr
     led = written(open_.join(top, "key").groupBy("top", "rep", "c").agg(F.lit(1).alias("one")).drop("one"), "led")
     led = led.join(classes.select("rep", "n", "sig"), "rep")
     stray = F.when(F.col("c") != F.col("top"), F.col("n")).otherwise(0)
-    blocks_of = led.groupBy("top").agg(*(F.ceil(F.sum(v) / BLOCK_SHINGLES).cast("int").alias(k) for k, v in (("sb", stray), ("mb", F.col("n")))))
+    many = lambda v: F.ceil(F.greatest(F.sum(v) / BLOCK_SHINGLES, F.count_if(v > 0) / BLOCK_ROWS)).cast("int")
+    blocks_of = led.groupBy("top").agg(many(stray).alias("sb"), many(F.col("n")).alias("mb"))
     led = led.join(blocks_of, "top")
     block = lambda k: F.pmod(F.xxhash64("rep"), F.col(k)).cast("int")
     spread = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
@@ -233,7 +281,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, least: int = 80, id_co
     pairs = written(pairs, "pairs")
     near = written(_near(pairs, classes, least), "near")
     ids = near.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    sets = written(_sets(docs, ids, shingle), "sets")
+    sets = written(_pieces(docs, ids, shingle, least), "sets")
     links = written(_confirmed(near, sets, least), "links")
     release(shared, pairs, near, sets)
     found = written(components(links), "found")

@@ -262,6 +262,65 @@ def test_straggler_blocks_find_links():
     assert neardup._links_between(apart, 80).num_rows == 0
 
 
+def test_straggler_blocks_stay_small():
+    """A block of many rows takes memory for its rows' pairs and a few columns, not for rows times thousands of columns."""
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    base = r.integers(0, 1 << 62, (1500, 20))
+    sets = np.sort(np.concatenate([base, base]), axis=1)
+    sigs = r.integers(0, 1 << 16, (1500, neardup.SYMBOLS)).astype("<u2")
+    table = pa.table({"side": [0] * 1500 + [1] * 1500, "rep": range(3000), "c": range(3000), "sig": [x.tobytes() for x in sigs] * 2, "set": pa.array(list(sets), pa.list_(pa.int64()))})
+    tracemalloc.start()
+    out = neardup._links_between(table, 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(zip(out["a"].to_pylist(), out["b"].to_pylist())) == [(k, 1500 + k) for k in range(1500)]
+    assert peak < 100e6
+
+
+def test_straggler_blocks_are_bounded_by_rows(spark, monkeypatch, tmp_path):
+    """Stragglers of one bucket with few shingles each are dealt to several blocks, none of which misses a link."""
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 4)
+    n, r = 24, random.Random(8)
+    sets = [[f"w{r.randrange(10**9)}" for _ in range(30)] for _ in range(n // 2)]
+    docs = spark.createDataFrame([(k, " ".join(sets[k // 2][: 30 - k % 2])) for k in range(n)], "doc_id long, text string")
+    sigs = neardup.signatures(docs, 4)
+    classes = common.written(sigs.selectExpr("doc_id as rep", "n_shingles as n", f"cast(repeat('x', {2 * neardup.SYMBOLS}) as binary) as sig"), "classes")
+    members = spark.createDataFrame([(1, k, 0, n) for k in range(n)], "key long, rep long, pivot long, size long")
+    found = spark.createDataFrame([], "node long, component long")
+    log = tmp_path / "rows"
+
+    def noted(table, least, links=neardup._links_between):
+        with log.open("a") as f:
+            f.write(f"{table.num_rows}\n")
+        return links(table, least)
+
+    monkeypatch.setattr(neardup, "_links_between", noted)
+    got = {frozenset((x.a, x.b)) for x in neardup._rest(members, found, docs, classes, 4, 80).collect()}
+    assert got == {frozenset((k, k + 1)) for k in range(0, n, 2)}
+    assert max(map(int, log.read_text().split())) < n
+
+
+def test_long_sets_are_confirmed_by_pieces(spark):
+    r = random.Random(6)
+    texts = [prose(k, r) for k in (3, 40, 140, 600)]
+    texts += [" ".join(w for j, w in enumerate(t.split()) if j % 61 != 60) + " end" for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {k: set(map(tuple, (t.split()[j : j + 4] for j in range(max(1, len(t.split()) - 3))))) for k, t in enumerate(texts)}
+    docs = docs.unionByName(docs)  # repeated rows count once
+    pieces = common.written(neardup._pieces(docs, docs.select("doc_id"), 4, 80, most=16), "pieces")
+    assert pieces.selectExpr("max(size(set))").first()[0] < 48
+    count = pieces.selectExpr("id", "row", "level", "size(set) as size").groupBy("id", "row", "level").sum("size").collect()
+    assert {x.id for x in count} == set(sets) and all(x[3] == len(sets[x.id]) for x in count)
+    sets[8], sets[9] = ({(k,) for k in range(lo, lo + 100)} for lo in (0, 30))
+    extra = spark.createDataFrame([(k, r, 100, 0, 0, sorted(h for h, in sets[k])) for k in (8, 9) for r in (-1, -2)], pieces.schema)
+    pieces = pieces.unionByName(extra.selectExpr("id", "row", "n", "3 as level", "piece", "set"))  # similarity 0.54, twice each
+    pairs = [(a, b, len(sets[a]), len(sets[b])) for a in sets for b in sets if a > b and 100 * min(len(sets[a]), len(sets[b])) >= 80 * max(len(sets[a]), len(sets[b]))]
+    got = {(x.a, x.b) for x in neardup._confirmed(spark.createDataFrame(pairs, "x long, y long, nx long, ny long"), pieces, 80, most=16).collect()}
+    assert got == {(a, b) for a, b, _, _ in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])} and len(got) >= 2
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 450)]
