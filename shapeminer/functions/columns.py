@@ -22,7 +22,8 @@ _SHAPES = {"%Y": r"\d{4}", "%m": r"\d{1,2}", "%d": r"\d{1,2}", "%H": r"\d{1,2}",
 
 
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    # most values have neither white space nor a line's end (before which $ matches, too) to lose
+    return F.when(F.btrim(c, F.lit(" \t\n\x0b\f\r\x85\u2028\u2029")) == c, c).otherwise(F.regexp_replace(c, r"^\s+|\s+$", ""))
 
 
 def parse_bool(c: Column, pair: str) -> Column:

@@ -91,6 +91,7 @@ NAMED = {"o": OCT, "d": DEC, "x": HEX, "I": IDENT_FIRST, "i": IDENT}
 def positions(hist: DataFrame, *path: str, value: str = "v") -> DataFrame:
     """(path, pos, chars): the distinct characters at each position of the distinct values."""
     spread = hist.select(*path, F.posexplode(F.split(value, "")).alias("pos", "c")).where("c != ''")
+    spread = spread.groupBy(*path, "pos", "c").agg(F.lit(1))  # few, and counted by hash
     return spread.groupBy(*path, "pos").agg(F.array_sort(F.collect_set("c")).alias("chars"))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
@@ -73,25 +74,41 @@ def prepared(hist: DataFrame, options: Options) -> DataFrame:
 
 def evidence(hist: DataFrame, options: Options) -> DataFrame:
     """One row per path: totals, blanks, lengths, whether all are URLs, and each candidate's bad and good values."""
-    v, filled = F.col("v"), F.col("v") != ""
+    v = F.col("v")
+    # whether each candidate converts, as bits, computed once a value; most values are ruled out of all the dates by their lead
+    short = F.length(v) <= options.max_numeric_len
+    bits = lambda dates: reduce(Column.__add__, (F.when(_possible(c, v) & c.valid(v), 1 << k).otherwise(0) for k, c in enumerate(ALL) if (c.kind == "datetime") == dates))
+    plain, dates = F.when(short, bits(False)).otherwise(0), F.when((F.length(v) <= _DATETIME_LEN) & v.rlike(C.DATETIME_LEAD), bits(True)).otherwise(0)
+    tried = hist.select("path_id", "n", F.length(v).alias("len"), (v != "").alias("filled"), C.is_url(v).alias("url"), _split(plain + dates).alias("bits"))
+    # few combinations occur
+    seen = tried.groupBy("path_id", "filled", "url", "bits").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.min("len").alias("lo"), F.max("len").alias("hi"))
+    filled = F.col("filled")
     aggs = [
         F.sum("n").alias("total"), F.coalesce(F.sum(F.when(~filled, F.col("n"))), F.lit(0)).alias("blank"),
-        F.min(F.when(filled, F.length(v))).alias("min_len"), F.max(F.when(filled, F.length(v))).alias("max_len"),
-        F.coalesce(F.bool_and(F.when(filled, C.is_url(v))), F.lit(False)).alias("url"),
+        F.min(F.when(filled, F.col("lo"))).alias("min_len"), F.max(F.when(filled, F.col("hi"))).alias("max_len"),
+        F.coalesce(F.bool_and(F.when(filled, F.col("url"))), F.lit(False)).alias("url"),
     ]
-    # whether each candidate converts, computed once a value; most values are ruled out of all the dates by their lead
-    short = F.length(v) <= options.max_numeric_len
-    plain = [short & c.valid(v) for c in ALL if c.kind != "datetime"]
-    dates = [c.valid(v) for c in ALL if c.kind == "datetime"]
-    none = F.array(*[F.lit(False)] * len(dates))
-    tried = hist.select("path_id", "v", "n", F.array(*plain).alias("plain"), F.when((F.length(v) <= _DATETIME_LEN) & v.rlike(C.DATETIME_LEAD), F.array(*dates)).otherwise(none).alias("dates"))
-    at = {"plain": 0, "dates": 0}
-    for k, c in enumerate(ALL):
-        part = "dates" if c.kind == "datetime" else "plain"
-        ok = F.col(part)[at[part]]
-        at[part] += 1
-        aggs += [F.coalesce(F.sum(F.when(filled & ~ok, F.col("n"))), F.lit(0)).alias(f"bad{k}"), F.count_if(filled & ok).alias(f"good{k}")]
-    return tried.groupBy("path_id").agg(*aggs)
+    for k in range(len(ALL)):
+        ok = F.col("bits").bitwiseAND(1 << k) != 0
+        aggs += [F.coalesce(F.sum(F.when(filled & ~ok, F.col("n"))), F.lit(0)).alias(f"bad{k}"), F.coalesce(F.sum(F.when(filled & ok, F.col("k"))), F.lit(0)).alias(f"good{k}")]
+    return seen.groupBy("path_id").agg(*aggs)
+
+
+def _split(c: Column) -> Column:
+    """A number as it is, in a projection apart from whole-stage code: in that, all of a long expression is in one method
+    which the JVM never compiles; outside, Spark cuts it into short ones. (A higher-order function keeps it out.)"""
+    return c + F.size(F.filter(F.array(F.lit(None).cast("int"), F.col("n").cast("int")), lambda _: F.lit(False)))
+
+
+def _possible(c: Candidate, v: Column) -> Column:
+    """What is cheap to see and follows from a candidate's shape."""
+    if c.kind == "bool":  # five characters, and a line's end
+        return F.length(F.btrim(v, F.lit(" \t\n\x0b\f\r"))) <= 6
+    if c.kind != "datetime":
+        return F.lit(True)
+    if c.pattern.startswith("%a"):
+        return v.contains(", ")
+    return (v.contains("T") == F.lit("T" in c.pattern)) & (v.contains(".") == F.lit("%f" in c.pattern))
 
 
 def chosen(row, options: Options, bad_threshold: Fraction | None = None) -> tuple[str, Candidate | None, bool]:
@@ -111,17 +128,24 @@ def chosen(row, options: Options, bad_threshold: Fraction | None = None) -> tupl
 
 
 def converted(hist: DataFrame, decisions: DataFrame, used: list[int]) -> DataFrame:
-    """Adds to (path_id, v, n) the value that the path's decision (path_id, conv, blanks) gives it, as one of i, d,
-    s, t; drops blanks where they do not stay, and bad values."""
+    """The value (path_id, n, i, d, t, s) that the decision of the path (path_id, conv, blanks) gives to each of
+    (path_id, v, n), as one of i, d, t, s; blanks are dropped where they do not stay, bad values are rows of nulls."""
     h = hist.join(F.broadcast(decisions), "path_id").where("blanks or v != ''")  # a row per path
     v = F.col("v")
     pick = lambda kind, none: F.coalesce(*(F.when(F.col("conv") == k, ALL[k](v)) for k in used if ALL[k].kind == kind), F.lit(none))
     null = lambda t: F.lit(None).cast(t)
     return h.select(
-        "path_id", "n",
+        "path_id", _split(F.col("n")).alias("n") if used else "n",
         F.coalesce(pick("int", None).cast("decimal(38,0)"), pick("bool", None).cast("int").cast("decimal(38,0)"), null("decimal(38,0)")).alias("i"),
         pick("float", None).cast("double").alias("d"), pick("datetime", None).cast("timestamp").alias("t"), F.when(F.col("conv") == -1, v).alias("s"),
-    ).where("i is not null or d is not null or t is not null or s is not null")
+    )
+
+
+def regrouped(rows: DataFrame) -> DataFrame:
+    """The histogram (path_id, v, n) of rows (path_id, n, i, d, t, s), of which bad ones are dropped afterwards: a filter
+    before would be moved below the conversions and do them twice."""
+    good = F.col("i").isNotNull() | F.col("d").isNotNull() | F.col("t").isNotNull() | F.col("s").isNotNull()
+    return rows.groupBy("path_id", F.struct("i", "d", "t", "s").alias("v")).agg(F.sum("n").alias("n"), F.max(good).alias("_good")).where("_good").drop("_good")
 
 
 def patterns(hist: DataFrame, paths: DataFrame) -> dict[str, tuple]:

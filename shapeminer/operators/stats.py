@@ -19,43 +19,64 @@ def statistics(hist: DataFrame, *path: str, value: str = "v", spread: int = 0) -
     """card, distinct_values, min, q1, q2, q3, max, is_unique of each path.
 
     A quartile is the first value before which there are at least k quarters (rounded down) of all; else the
-    largest. Plainly, one window runs over the distinct values of a path. With spread, a path with more distinct
-    values than SPREAD_FROM is cut into about that many ranges of values, each with a window of its own, so no task
-    holds a whole path; the histogram is then read three times and should be persisted or cheap.
+    largest. Plainly, one window runs over the distinct values of a path. With spread, it runs over those that
+    `narrowed` leaves; the histogram is then read four times and should be persisted or cheap.
     """
     hist = hist.where(F.col(value).isNotNull())
-    part, before = [*path], F.lit(0)
     if spread:
-        hist, part, before = *_ranged(hist, path, value, spread), F.col("_offset")
-    ordered = Window.partitionBy(*part).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    h = hist.withColumn("_before", F.coalesce(F.sum("n").over(ordered), F.lit(0)) + before)
-    if not spread:
-        h = h.withColumn("_card", F.sum("n").over(Window.partitionBy(*path)))
+        return narrowed_statistics(narrowed(hist, *path, value=value, spread=spread), *path, value=value)
+    whole = Window.partitionBy(*path)
+    return narrowed_statistics(hist.withColumns({"_card": F.sum("n").over(whole), "_all": F.count("*").over(whole), "_most": F.max("n").over(whole), "_range": F.lit(0), "_before": F.lit(0), "_quarters": F.lit(True)}), *path, value=value)
+
+
+def narrowed_statistics(rows: DataFrame, *path: str, value: str = "v") -> DataFrame:
+    """As statistics, of what `narrowed` gives."""
+    ordered = Window.partitionBy(*path, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    h = rows.where("_quarters").withColumn("_before", F.coalesce(F.sum("n").over(ordered), F.lit(0)) + F.col("_before"))
     q = lambda k: F.coalesce(F.min(F.when(F.expr(f"_before >= ({k} * _card) div 4"), F.col(value))), F.max(value)).alias(f"q{k}")
     return h.groupBy(*path).agg(
-        F.max("_card").alias("card"), F.count("*").alias("distinct_values"), F.min(value).alias("min"), q(1), q(2), q(3), F.max(value).alias("max"), (F.max("n") == 1).alias("is_unique")
+        F.max("_card").alias("card"), F.max("_all").alias("distinct_values"), F.min(value).alias("min"), q(1), q(2), q(3), F.max(value).alias("max"), (F.max("_most") == 1).alias("is_unique")
     )
 
 
 #: Distinct values up to which one window per path will do.
 SPREAD_FROM = 100_000
+#: Range borders that a path can have, one less than a power of two.
+_MOST_CUTS = 1023
 
 
-def _ranged(hist: DataFrame, path, value: str, spread: int):
-    """The histogram with _card, the value's range and the count before that range; and the partition columns.
+def narrowed(hist: DataFrame, *path: str, value: str = "v", spread: int = 256, k: int = 3) -> DataFrame:
+    """The values that decide a path's statistics and its k most and least common ones, which are exact all the same.
 
-    Range borders are a fixed hash sample of the path's own values: about `spread` of them for each path.
+    A path with more than SPREAD_FROM distinct values is cut into about `spread` ranges; borders are a fixed hash
+    sample of its own values. Counting values by range and number of occurrences tells which ranges hold the
+    quartiles and the ends (_quarters), and which hold common and rare values (_samples); the rest is left out
+    without being sorted or moved. Columns added: the path's _card, distinct values _all and largest count _most;
+    the value's _range, and the count _before that range.
     """
-    sizes = hist.groupBy(*path).agg(F.count("*").alias("_k"), F.sum("n").alias("_card"))
-    step = F.greatest(F.lit(1), F.floor(F.col("_k") / spread)).cast("bigint")
-    big = hist.join(F.broadcast(sizes), [*path]).where(f"_k > {SPREAD_FROM}")  # a row per path
-    cuts = big.where(F.pmod(F.xxhash64(value), step) == 0).groupBy(*path).agg(F.array_sort(F.collect_list(value)).alias("_cuts"))
-    held = hist.join(F.broadcast(sizes.join(cuts, [*path], "left").drop("_k")), [*path])
-    held = held.withColumn("_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))).drop("_cuts")
-    totals = held.groupBy(*path, "_range").agg(F.sum("n").alias("_n"))
-    run = Window.partitionBy(*path).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*path, "_range", F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_offset"))
-    return held.join(F.broadcast(offsets), [*path, "_range"]), [*path, "_range"]
+    sizes = hist.groupBy(*path).agg(F.count("*").alias("_all"), F.sum("n").alias("_card"), F.max("n").alias("_most"))
+    step = F.greatest(F.lit(1), F.floor(F.col("_all") / spread)).cast("bigint")
+    big = hist.join(F.broadcast(sizes), [*path]).where(f"_all > {SPREAD_FROM}")  # a row per path
+    cuts = big.where(F.pmod(F.xxhash64(value), step) == 0).groupBy(*path).agg(F.slice(F.array_sort(F.collect_list(value)), 1, _MOST_CUTS).alias("_cuts"))
+    # the number of borders below the value, by binary search: one expression, which filters may repeat as it is
+    bits = F.array(*(F.lit((_MOST_CUTS + 1) >> k) for k in range(1, (_MOST_CUTS + 1).bit_length())))
+    place = F.aggregate(bits, F.lit(0), lambda at, bit: at + F.when(F.get("_cuts", at + bit - 1) < F.col(value), bit).otherwise(0))
+    ranged = hist.join(F.broadcast(sizes.join(cuts, [*path], "left")), [*path]).withColumn("_range", F.when(F.col("_cuts").isNotNull(), place).otherwise(0)).drop("_cuts")
+    cells = ranged.groupBy(*path, "_range", "n").agg(F.count("*").alias("_c"), F.max("_card").alias("_card"))
+    before = lambda *by: F.coalesce(F.sum("_c").over(Window.partitionBy(*path).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.withColumns({"_above": before(F.desc("n"), F.asc("_range")), "_below": before(F.asc("n"), F.desc("_range"))})
+    ranges = cells.groupBy(*path, "_range").agg(
+        F.sum(F.col("n") * F.col("_c")).alias("_in"), F.max("_card").alias("_card"), F.min(F.when(F.col("_above") < k, F.col("n"))).alias("_common"), F.max(F.when(F.col("_below") < k, F.col("n"))).alias("_rare")
+    )
+    along, own = Window.partitionBy(*path).orderBy("_range"), Window.partitionBy(*path)
+    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_in").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # the range in which the count reaches a quarter, and the next one, whose first value may be the quartile
+    ranges = ranges.withColumn("_hit", F.expr(" or ".join(f"(_before <= ({j} * _card) div 4 and ({j} * _card) div 4 < _before + _in)" for j in (1, 2, 3))))
+    ends = (F.col("_range") == F.min("_range").over(own)) | (F.col("_range") == F.max("_range").over(own))
+    ranges = ranges.withColumn("_quarters", F.col("_hit") | F.coalesce(F.lag("_hit").over(along), F.lit(False)) | ends).where("_quarters or _common is not null or _rare is not null")
+    rows = ranged.join(F.broadcast(ranges.select(*path, "_range", "_before", "_quarters", "_common", "_rare")), [*path, "_range"])  # a few ranges per path
+    rows = rows.withColumn("_samples", F.coalesce(F.col("n") >= F.col("_common"), F.lit(False)) | F.coalesce(F.col("n") <= F.col("_rare"), F.lit(False)))
+    return rows.where("_quarters or _samples").drop("_common", "_rare")
 
 
 def lengths(hist: DataFrame, *path: str, value: str = "v") -> DataFrame:
@@ -85,15 +106,13 @@ def elements(hist: DataFrame) -> DataFrame:
     return hist.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("_i", "n")
 
 
-def common_and_rare(hist: DataFrame, *path: str, value: str = "v", k: int = 3, parts: int = 32) -> DataFrame:
-    """The k most and k least common values of each path, with their rank; ties by value.
+def common_and_rare(hist: DataFrame, *path: str, value: str = "v", k: int = 3, spread: int = 256) -> DataFrame:
+    """The k most and k least common values of each path, with their rank; ties by value. Of the values that `narrowed` leaves."""
+    return narrowed_common_and_rare(narrowed(hist, *path, value=value, spread=spread, k=k), *path, value=value, k=k).select(*hist.columns, "rank")
 
-    In two steps, first in each of `parts` parts of a path's values, so that no task sorts a whole path.
-    """
-    first, last = [F.desc("n"), F.asc(value)], [F.asc("n"), F.desc(value)]
-    own = Window.partitionBy(*path, "_part")
-    some = hist.withColumn("_part", F.pmod(F.xxhash64(value), F.lit(parts))).withColumns({"_a": F.row_number().over(own.orderBy(*first)), "_z": F.row_number().over(own.orderBy(*last))}).where(f"_a <= {k} or _z <= {k}")
+
+def narrowed_common_and_rare(rows: DataFrame, *path: str, value: str = "v", k: int = 3) -> DataFrame:
+    """As common_and_rare, of what `narrowed` gives for the same k."""
     whole = Window.partitionBy(*path)
-    some = some.withColumns({"_a": F.row_number().over(whole.orderBy(*first)), "_z": F.row_number().over(whole.orderBy(*last))}).where(f"_a <= {k} or _z <= {k}")
-    sizes = F.broadcast(hist.groupBy(*path).agg(F.count("*").cast("int").alias("_all")))  # a row per path
-    return some.join(sizes, [*path]).withColumn("rank", F.when(F.col("_a") <= k, F.col("_a")).otherwise(F.col("_all") - F.col("_z") + 1)).drop("_part", "_a", "_z", "_all")
+    some = rows.where("_samples").withColumns({"_a": F.row_number().over(whole.orderBy(F.desc("n"), F.asc(value))), "_z": F.row_number().over(whole.orderBy(F.asc("n"), F.desc(value)))}).where(f"_a <= {k} or _z <= {k}")
+    return some.select(*path, value, "n", F.when(F.col("_a") <= k, F.col("_a")).otherwise(F.col("_all") - F.col("_z") + 1).cast("int").alias("rank"))

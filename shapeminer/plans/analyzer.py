@@ -12,6 +12,7 @@ import re
 import warnings
 from datetime import datetime, timedelta
 from fractions import Fraction
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -37,12 +38,14 @@ class Analyzer:
 
     def __init__(self, spark: SparkSession, options: Options | None = None, progress=None):
         self.spark, self.options, self.progress = spark, options or Options.library(), progress
-        self._root: tuple[DataFrame, str] | None = None
+        self._root: tuple[DataFrame | nodes.Mapping, str] | None = None
 
     # ---- input
 
-    def nodes_of(self, data) -> tuple[DataFrame, str]:
-        """(rows of (path_id, v), the root's path) of a DataFrame or of a value that JSON can hold."""
+    def nodes_of(self, data) -> tuple[DataFrame | nodes.Mapping, str]:
+        """(rows of (path_id, v), the root's path) of a DataFrame or of a value that JSON can hold; a Mapping stays."""
+        if isinstance(data, nodes.Mapping):
+            return data, "$[]"
         if isinstance(data, DataFrame):
             if [t for _, t in data.dtypes] == ["variant"]:
                 return data.select(F.lit("$[]").alias("path_id"), F.col(data.columns[0]).alias("v")), "$[]"
@@ -52,8 +55,12 @@ class Analyzer:
 
     def measure(self, data) -> int:
         """Containers, keys and values of the data, all levels."""
-        level, _ = self.nodes_of(data)
-        level, total = nodes.typed(level), 0
+        level, top = self.nodes_of(data)
+        total = 0
+        if isinstance(level, nodes.Mapping):  # itself and its keys
+            kids = level.children(top)
+            total, level = 1 + kids.count(), kids.select("path_id", F.col("child").alias("v"))
+        level = nodes.typed(level)
         for _ in range(self.options.max_depth):
             n, inner = level.agg(F.count("*"), F.count_if(F.col("kind").isin("object", "array"))).first()
             total += n
@@ -88,29 +95,36 @@ class Analyzer:
 
     def _run(self, forced: set[str]) -> Node:
         o, (root, top) = self.options, self._root
-        level, held, hists, key_hists = nodes.typed(root), [], [], []
+        held, hists, key_hists = [], [], []
         facts: dict[str, dict] = {}
+        keep = lambda df: held.append(df.persist(StorageLevel.MEMORY_AND_DISK)) or held[-1]
+        whole = isinstance(root, nodes.Mapping)
+        level = root if whole else keep(root)
         for depth in range(o.max_depth):
-            level = level.persist(StorageLevel.MEMORY_AND_DISK)
-            held.append(level)
+            # of a level's nodes only the distinct values and the containers are held
+            hist = keep(level.histogram(top) if level is root and whole else nodes.histogram(level, infer.C.stripped if o.strip_whitespace else None))
             kinds = ("object", "array", "null", "bool", "int", "float", "str", "datetime")
-            rows = level.groupBy("path_id").agg(F.count("*").alias("n"), *(F.count_if(F.col("kind") == k).alias(k) for k in kinds), F.min("size").alias("lo"), F.max("size").alias("hi")).collect()
+            size, count = F.when(F.col("kind") == "array", F.col("size")), lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k)
+            rows = hist.groupBy("path_id").agg(F.sum("n").alias("n"), *map(count, kinds), F.min(size).alias("lo"), F.max(size).alias("hi")).collect()
             if self.progress:
                 self.progress(depth, len(rows))
             here = {r.path_id: r.asDict() | {"mode": self._mode(r)} for r in rows}
             facts |= here
-            hists.append(nodes.scalars(level))
+            hists.append(hist)
             inner = {p: f for p, f in here.items() if f["mode"] in ("dict", "list", "tuple")}
             if not inner:
                 break
-            kids = nodes.children(level)
-            keys = kids.where("key is not null").groupBy("path_id", F.col("key").alias("v")).agg(F.count("*").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
-            held.append(keys)
-            self._keys(keys, inner, forced, key_hists)
-            level = nodes.typed(self._next(kids, keys, inner))
+            if level is root and whole:
+                kids = level.children(top)
+            else:
+                own = self._only(level, list(inner))
+                kids = nodes.exploded((keep(own) if depth else own).withColumn("kind", F.lit(None).cast("string")))
+            keys = keep(kids.where("key is not null").groupBy("path_id", F.col("key").alias("v")).agg(F.count("*").alias("n")))
+            self._keys(keys, inner, forced, key_hists, keep)
+            level = self._next(kids, keys, inner)
         else:
             warnings.warn(f"nesting beyond {o.max_depth} levels is not followed", ValidationWarning, stacklevel=3)
-        tree = self._tree(facts, hists, key_hists, held, top, forced)
+        tree = self._tree(facts, hists, key_hists, keep, top, forced)
         for x in held:
             x.unpersist()
         return tree
@@ -132,7 +146,7 @@ class Analyzer:
                 return kind
         return "value"
 
-    def _keys(self, keys: DataFrame, inner: dict, forced: set[str], key_hists: list) -> None:
+    def _keys(self, keys: DataFrame, inner: dict, forced: set[str], key_hists: list, keep) -> None:
         """Record or table; the literal keys of records, the key conversion of tables."""
         o = self.options
         dicts = {p: f for p, f in inner.items() if f["mode"] == "dict"}
@@ -146,7 +160,7 @@ class Analyzer:
             for r in self._only(keys, records).orderBy("path_id", "v").collect():
                 dicts[r.path_id]["fields"].append((r.v, r.n, r.n < dicts[r.path_id]["n"]))
         if tables:
-            own = infer.prepared(self._only(keys, tables), o)
+            own = keep(infer.prepared(self._only(keys, tables), o))
             for r in infer.evidence(own, o).collect():
                 dicts[r.path_id]["key"] = infer.chosen(r, o, Fraction(0) if r.path_id in forced else None)
             key_hists.append(own.withColumn("path_id", F.concat("path_id", F.lit("{key}"))))
@@ -180,45 +194,52 @@ class Analyzer:
 
     # ---- types and statistics of the leaves
 
-    def _tree(self, facts, hists, key_hists, held, top, forced) -> Node:
+    def _tree(self, facts, hists, key_hists, keep, top, forced) -> Node:
         o = self.options
         every = hists[0]
         for h in hists[1:]:
             every = every.unionByName(h)
-        every = every.persist(StorageLevel.MEMORY_AND_DISK)
+        sizes = every.where("kind in ('array', 'object')").groupBy("path_id", F.col("size").cast("int").alias("v")).agg(F.sum("n").alias("n"))
+        every = every.where(nodes.SCALAR)
         strings = every.where("kind = 'str'").select("path_id", F.col("s").alias("v"), "n")
         strings = self._only(strings, [p for p, f in facts.items() if f["mode"] == "str"] or [""])
-        strings = infer.prepared(strings, o)
         for h in key_hists:
             strings = strings.unionByName(h)
-        strings = strings.persist(StorageLevel.MEMORY_AND_DISK)
-        held += [every, strings]
         loose = {p + "{key}" for p in forced}
         texts = key_hists or any(f["mode"] == "str" for f in facts.values())
         seen = {r.path_id: r for r in infer.evidence(strings, o).collect()} if texts else {}
         picks = {p: infer.chosen(r, o, Fraction(0) if p in loose else None) for p, r in seen.items()}
-        typed = self._numbers(every, facts)
-        if picks:
-            rows = [(p, infer.ALL.index(c) if c else -1, blanks) for p, (_, c, blanks) in picks.items()]
-            plan = self.spark.createDataFrame(rows, "path_id string, conv int, blanks boolean")
-            typed = typed.unionByName(infer.converted(strings, plan, sorted({k for _, k, _ in rows if k >= 0})).select("path_id", "n", "i", "d", "t", "s"))
-        # distinct strings may convert to one value
-        typed = typed.groupBy("path_id", F.struct("i", "d", "t", "s").alias("v")).agg(F.sum("n").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
-        held.append(typed)
-        values = {r.path_id: self._stats(r) for r in stats.statistics(typed, "path_id", spread=256).collect()}
-        for r in stats.common_and_rare(typed, "path_id").orderBy("path_id", "rank").collect():
+        typed = self._values(every, strings, facts, picks, keep)
+        few = keep(stats.narrowed(typed, "path_id"))
+        values = {r.path_id: self._stats(r) for r in stats.narrowed_statistics(few, "path_id").collect()}
+        for r in stats.narrowed_common_and_rare(few, "path_id").orderBy("path_id", "rank").collect():
             values[r.path_id].samples.append((_plain(r.v), r.n))
-        size = stats.lengths(typed.select("path_id", F.col("v.s").alias("v"), "n").where("v is not null"), "path_id")
-        for df in held[:]:
-            if "size" in df.columns:
-                size = size.unionByName(df.where("kind in ('array', 'object')").select("path_id", F.coalesce("size", F.size(F.try_variant_get("v", "$", "map<string,variant>"))).cast("int").alias("v")).groupBy("path_id", "v").agg(F.count("*").alias("n")))
+        size = stats.lengths(typed.select("path_id", F.col("v.s").alias("v"), "n").where("v is not null"), "path_id").unionByName(sizes)
         lengths = {r.path_id: self._stats(r) for r in stats.statistics(size, "path_id").collect()}
         fixed = [p for p, (k, _, _) in picks.items() if k == "fixed"]
         mined = infer.patterns(strings, self.spark.createDataFrame([(p,) for p in fixed], "path_id string")) if fixed else {}
         return self._node(top.removesuffix("[]") if top == "$[]" else top, facts, picks, values, lengths, mined, top)
 
-    def _numbers(self, every: DataFrame, facts) -> DataFrame:
-        rows = [(p, f["mode"]) for p, f in facts.items() if f["mode"] in ("bool", "int", "float", "datetime")]
+    def _values(self, every: DataFrame, strings: DataFrame, facts, picks, keep) -> DataFrame:
+        """The histogram (path_id, v, n) of typed values. Only what several distinct values may convert to is grouped again."""
+        numbers = {p: f for p, f in facts.items() if f["mode"] in ("bool", "int", "float", "datetime")}
+        mixed = {p for p, f in numbers.items() if sum(f[k] > 0 for k in ("bool", "int", "float")) > 1}
+        direct, again = [], []
+        for paths, parts in ((numbers.keys() - mixed, direct), (mixed, again)):
+            if paths:
+                parts.append(self._numbers(every, [(p, numbers[p]["mode"]) for p in sorted(paths)]))
+        for convert, parts in ((False, direct), (True, again)):
+            rows = [(p, infer.ALL.index(c) if c else -1, blanks) for p, (_, c, blanks) in picks.items() if bool(c) == convert]
+            if rows:
+                plan = self.spark.createDataFrame(rows, "path_id string, conv int, blanks boolean")
+                parts.append(infer.converted(strings, plan, sorted({k for _, k, _ in rows if k >= 0})))
+        value = F.struct("i", "d", "t", "s").alias("v")
+        if again:
+            direct = [x.select("path_id", value, "n") for x in direct] + [keep(infer.regrouped(reduce(DataFrame.unionByName, again)))]
+            return reduce(DataFrame.unionByName, direct)
+        return reduce(DataFrame.unionByName, direct or [self._numbers(every, [])]).select("path_id", value, "n")
+
+    def _numbers(self, every: DataFrame, rows: list[tuple[str, str]]) -> DataFrame:
         plan = F.broadcast(self.spark.createDataFrame(rows, "path_id string, mode string"))
         number = F.coalesce("i", "b")
         return every.join(plan, "path_id").select(

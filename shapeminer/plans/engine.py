@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.text import format_value
-from ..operators import infer, stats
+from ..operators import infer, nodes, stats
 from ..options import Options
 from ..sources import reader
 from .analyzer import Analyzer, profile
@@ -79,7 +79,8 @@ def analysed_ragged_lists(spark, sf_dir):
 
 
 def _map_doc(df, key, value):
-    return df.agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("m")).select(F.parse_json(F.to_json("m")).alias("doc"))
+    """The table as one mapping, whose entries stay rows."""
+    return nodes.Mapping(df.select(key.alias("key"), value.cast("variant").alias("child")))
 
 
 @_query("""SELECT 'nation' AS source, CASE WHEN count(DISTINCT n_name) < 20 THEN 'record' ELSE 'table' END AS kind, count(DISTINCT n_name) AS keys, min(n_nationkey) AS lo, max(n_nationkey) AS hi FROM nation
@@ -237,9 +238,9 @@ def accepted_by_kind(spark, sf_dir):
     text = F.when(k < 2, F.concat(F.lit('{"a":'), "o_custkey", F.lit("}"))).when(k == 2, F.concat(F.lit("["), "o_custkey", F.lit(",1]"))).when(k == 3, (F.col("o_custkey") + 2).cast("string")).when(k == 4, "true").when(k == 5, '"text"').otherwise("{}")
     v = F.parse_json(text)
     wide = lambda a, b: Stats(1, 1, a, a, a, a, b, True)
-    nodes = (Node("record"), Node("list"), Node("tuple", lengths=wide(2, 2)), Node("int", values=wide(2, 10**12)), Node("bool"), Node("str", values=wide("", "~")), Node("value"))
-    got = _t(spark, sf_dir, "orders").agg(F.count("*").alias("n"), *(F.count_if(n.accepts(v)).alias(n.kind) for n in nodes))
-    return got.selectExpr(f"stack({len(nodes)}, " + ", ".join(f"'{n.kind}', {n.kind}, n" for n in nodes) + ") as (kind, valid, n)")
+    types = (Node("record"), Node("list"), Node("tuple", lengths=wide(2, 2)), Node("int", values=wide(2, 10**12)), Node("bool"), Node("str", values=wide("", "~")), Node("value"))
+    got = _t(spark, sf_dir, "orders").agg(F.count("*").alias("n"), *(F.count_if(n.accepts(v)).alias(n.kind) for n in types))
+    return got.selectExpr(f"stack({len(types)}, " + ", ".join(f"'{n.kind}', {n.kind}, n" for n in types) + ") as (kind, valid, n)")
 
 
 @_query("""SELECT 'nation' AS a, 'region' AS b, false AS alike UNION ALL SELECT 'orders even', 'orders odd', true UNION ALL SELECT 'keys of orders', 'keys of customer', true UNION ALL SELECT 'names', 'keys of orders', false""")

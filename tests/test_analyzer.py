@@ -128,3 +128,21 @@ def test_terminal_style(infer):
     for code in {*TERMINAL.values(), "\x1b[0m"}:
         text = text.replace(code, "")
     assert text == root.render()
+
+
+def test_mapping_of_rows_is_analysed_as_one_document(spark):
+    """What analysed_rejected_keys gathered into one VARIANT before: its entries stay rows, with the same result."""
+    from pyspark.sql import functions as F
+
+    from shapeminer.operators import nodes
+
+    rows = spark.range(300).selectExpr("if(id = 7, 'no key', string(id)) as key", "if(id % 2 = 0, parse_json(concat('{\"a\":', id, '}')), parse_json('{\"a\":1,\"b\":\"x\"}')) as child")
+    one = rows.agg(F.map_from_entries(F.collect_list(F.struct("key", F.to_json("child")))).alias("m")).first().m
+    text = "{" + ",".join(f'"{k}":{v}' for k, v in one.items()) + "}"
+    docs = spark.createDataFrame([(text,)], "s string").select(F.parse_json("s").alias("doc"))
+    found = []
+    for data in (docs, nodes.Mapping(rows)):
+        a = Analyzer(spark, Options.cli(**WINDOW))
+        with pytest.warns(UserWarning, match="1 rows under keys"):
+            found.append(profile(a.analyze(data), spark).orderBy("path_id").collect())
+    assert found[0] == found[1] and a.measure(nodes.Mapping(rows)) == a.measure(docs)
