@@ -61,7 +61,7 @@ def narrowed(hist: DataFrame, *path: str, value: str = "v", spread: int = 256, k
     # the number of borders below the value, by binary search: one expression, which filters may repeat as it is
     bits = F.array(*(F.lit((_MOST_CUTS + 1) >> k) for k in range(1, (_MOST_CUTS + 1).bit_length())))
     place = F.aggregate(bits, F.lit(0), lambda at, bit: at + F.when(F.get("_cuts", at + bit - 1) < F.col(value), bit).otherwise(0))
-    ranged = hist.join(F.broadcast(sizes.join(cuts, [*path], "left")), [*path]).withColumn("_range", F.when(F.col("_cuts").isNotNull(), place).otherwise(0)).drop("_cuts")
+    ranged = hist.join(F.broadcast(sizes.join(cuts, [*path], "left")), [*path]).withColumn("_range", F.coalesce(F.when(F.col("_cuts").isNotNull(), place), F.lit(0))).drop("_cuts")
     cells = ranged.groupBy(*path, "_range", "n").agg(F.count("*").alias("_c"), F.max("_card").alias("_card"))
     before = lambda *by: F.coalesce(F.sum("_c").over(Window.partitionBy(*path).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = cells.withColumns({"_above": before(F.desc("n"), F.asc("_range")), "_below": before(F.asc("n"), F.desc("_range"))})
